@@ -21,8 +21,48 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docforge.llm import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docforge.llm import token_counts
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docforge.llm import near_dup
+
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docforge.llm import decontaminate
+
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docforge.llm import warc
+
+    root, _ = warc.write_warc(table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.read_warc(spark, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe}
+    return {
+        "op1_bpe": op1_bpe,
+        "op5_html_text": op5_html_text,
+        "op7_token_counts": op7_token_counts,
+        "op8_near_dup": op8_near_dup,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
