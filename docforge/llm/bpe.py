@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding.
 
 Pre-tokens are cut by the JVM's regular expressions. A Python worker dictionary-encodes them block
-by block (Arrow, no Python objects), so each block carries its distinct words once. Spark
-higher-order functions then fold the ranked merges over the bytes of each distinct word, looking
-ranks up in a literal rank map; a second Arrow step spreads the ids back over the documents and
-concatenates the pieces of decoded words. No row is shuffled: every document stays in its partition.
+by block (Arrow, no Python objects), so each block carries its distinct words once. The ranked merges
+are folded over the bytes of the distinct words, the ids are spread back over the documents, and
+decoding concatenates the pieces. No row is shuffled: every document stays in its partition.
+
+Two folds give the same ids. ``native=True`` is the one of Spark higher-order functions with a literal
+rank map: one interpreted lambda for each step and word. The default folds all distinct words of a
+block together in numpy, as the first can't meet the CPU limit (README: figures).
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import as_bytes, id_text
+from docforge.llm.common import PairTable, as_bytes, id_text
 from docforge.plans.tables import bounded_arrow
 
 #: The public pattern, with Unicode's White_Space spelt out as Java needs it.
@@ -146,6 +149,80 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+class Merges:
+    """The ranked merges of a rank file over many words at once."""
+
+    NEVER = 1 << 30
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        keys, values = [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    keys.append(a << 24 | b)
+                    values.append(rank)
+        self.table = PairTable(np.array(keys, np.int64), np.array(values, np.int64), self.NEVER)
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+
+    def fold(self, words: pa.BinaryArray) -> pa.ListArray:
+        """Ids of each word: in every round each word merges its leftmost pair of lowest rank."""
+        n_words = len(words)
+        whole = np.array([-1 if (r := self.ranks.get(w)) is None else r for w in words.to_pylist()], np.int64)
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n_words + 1].astype(np.int64)
+        sizes = np.diff(at)
+        done_word, done_tok = [np.flatnonzero(whole >= 0)], [whole[whole >= 0]]
+        for i in np.flatnonzero((whole < 0) & (sizes > FOLD_BYTES)):
+            ids = heap_bpe(words[i].as_py(), self.ranks)
+            done_word.append(np.full(len(ids), i))
+            done_tok.append(np.array(ids, np.int64))
+        word = np.flatnonzero((whole < 0) & (sizes > 0) & (sizes <= FOLD_BYTES))
+        n = sizes[word]
+        if len(word):
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            place = np.repeat(at[word] - starts, n) + np.arange(n.sum())
+            tok = self.single[np.frombuffer(words.buffers()[2], np.uint8)[place]]
+            owner = np.repeat(np.arange(len(word)), n)
+            cost = self._costs(tok, owner, np.arange(len(tok)))
+        while len(word):
+            low = np.minimum.reduceat(cost << 32 | np.arange(len(tok)), starts)
+            ended = low >> 32 >= self.NEVER
+            keep = np.ones(len(tok), bool)
+            if ended.any():
+                keep = ~ended[owner]
+                done_word.append(word[owner[~keep]])
+                done_tok.append(tok[~keep])
+            left = low[~ended]
+            at_pair = left & 0xFFFFFFFF
+            tok[at_pair] = left >> 32
+            keep[at_pair + 1] = False
+            new = np.cumsum(keep) - 1
+            at_pair = new[at_pair]
+            word, n = word[~ended], n[~ended] - 1
+            tok, cost = tok[keep], cost[keep]
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
+            owner = np.repeat(np.arange(len(word)), n)
+            touched = np.concatenate([at_pair, at_pair[at_pair > 0] - 1])
+            cost[touched] = self._costs(tok, owner, touched)
+        owners, toks = np.concatenate(done_word), np.concatenate(done_tok)
+        order = np.argsort(owners, kind="stable")
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n_words))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(toks[order].astype(np.int32)))
+
+    def _costs(self, tok: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.full(len(at), self.NEVER, np.int64)
+        ok = np.flatnonzero(at + 1 < len(tok))
+        ok = ok[owner[at[ok]] == owner[at[ok] + 1]]
+        out[ok] = self.table.get(tok[at[ok]] << 24 | tok[at[ok] + 1])
+        return out
+
+
+@lru_cache(maxsize=2)
+def merges(path: str) -> Merges:
+    return Merges(read_ranks(path))
+
+
 def _joined(parts: pa.BinaryArray, offsets: np.ndarray) -> pa.BinaryArray:
     """Neighbouring values of a binary array joined between offsets; no copy of the bytes."""
     at = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1]
@@ -153,63 +230,66 @@ def _joined(parts: pa.BinaryArray, offsets: np.ndarray) -> pa.BinaryArray:
     return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(bounds), parts.buffers()[2]])
 
 
-def _spread(rank_file: str, keep_ids: bool):
-    """Ids of distinct words to documents: token numbers, digests and the decoded bytes' digest."""
+def _spread_out(words: pa.BinaryArray, index: pa.Array, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all tokens in order, and where each document's begin and end."""
+    if not len(index):
+        return memoryview(b""), np.zeros(len(ends), np.int64)
+    tokens = words.take(index)
+    at = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+    return memoryview(tokens.buffers()[2] or b""), at[ends].astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _encoder(rank_file: str, keep_ids: bool, native: bool):
+    """Blocks of documents to results. native: the ids of distinct words come with the block."""
+
+    def tables() -> tuple[pa.BinaryArray, pa.BinaryArray]:
         ranks = read_ranks(rank_file)
-        size = max(ranks.values()) + 1
-        names: list[bytes | None] = [None] * size
+        names = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             names[rank] = token
-        pieces = pa.array([x or b"" for x in names], pa.binary())
-        digits = pa.array([b"%d," % i for i in range(size)], pa.binary())
+        return pa.array([b"%d," % i for i in range(len(names))], pa.binary()), pa.array(names, pa.binary())
+
+    def results(doc_ids, sizes, places, ids, digits, pieces) -> pa.RecordBatch:
+        offsets = ids.offsets.to_numpy()
+        flat = ids.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(ids) else pa.array([], pa.int32())
+        offsets = offsets - (offsets[0] if len(offsets) else 0)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        index = pa.array(places)
+        n_ids = np.concatenate([[0], np.cumsum(np.diff(offsets).astype(np.int64)[places])]) if len(places) else np.zeros(1, np.int64)
+        cuts = lambda at: zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+        buf, at = _spread_out(_joined(digits.take(flat), offsets), index, ends)
+        ids_sha = [hashlib.sha256(buf[s : max(s, e - 1)]).hexdigest() for s, e in cuts(at)]
+        raw, at = _spread_out(_joined(pieces.take(flat), offsets), index, ends)
+        out_sha = [hashlib.sha256(raw[s:e]).hexdigest() for s, e in cuts(at)]
+        arrays = [doc_ids, pa.array(n_ids[ends[1:]] - n_ids[ends[:-1]], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if keep_ids:
+            spread = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat).take(index).flatten() if len(places) else flat
+            arrays += [pa.ListArray.from_arrays(pa.array(n_ids[ends].astype(np.int32)), spread.cast(pa.int32())), pa.array([bytes(raw[s:e]) for s, e in cuts(at)], pa.binary())]
+            names += ["ids", "decoded"]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digits, pieces = tables()
+        for batch in _blocks(batches):
+            words = as_bytes(batch.column(3).flatten())
+            yield results(batch.column(0).flatten(), batch.column(1).flatten().to_numpy(), np.frombuffer(batch.column(2)[0].as_buffer(), "<i4"), merges(rank_file).fold(words), digits, pieces)
+
+    def run_native(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digits, pieces = tables()
         for batch in batches:
             for row in range(batch.num_rows):
                 col = {n: batch.column(i).slice(row, 1) for i, n in enumerate(batch.schema.names)}
-                doc_ids, sizes = col["doc_ids"].flatten(), col["sizes"].flatten().to_numpy()
-                places = np.frombuffer(col["places"][0].as_buffer(), "<i4")
                 ids = col["ids"].flatten()  # one list of ids for each distinct word
                 if ids.null_count:
                     words = as_bytes(col["words"].flatten())
-                    long = {i: heap_bpe(words[i].as_py(), ranks) for i in np.flatnonzero(np.asarray(ids.is_null()))}
-                    ids = pa.array([long[i] if i in long else ids[i].as_py() for i in range(len(ids))], pa.list_(pa.int32()))
-                offsets = ids.offsets.to_numpy()
-                flat = ids.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(ids) else pa.array([], pa.int32())
-                offsets = offsets - (offsets[0] if len(offsets) else 0)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                index = pa.array(places)
-                per_word = np.diff(offsets).astype(np.int64)
-                n_ids = np.concatenate([[0], np.cumsum(per_word[places])]) if len(places) else np.zeros(1, np.int64)
-                n_tokens = n_ids[ends[1:]] - n_ids[ends[:-1]]
-                texts = {}
-                for name, table in (("ids", digits), ("text", pieces)):
-                    tokens = _joined(table.take(flat), offsets).take(index)
-                    at = np.frombuffer(tokens.buffers()[1], np.int32)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int32)
-                    texts[name] = (memoryview(tokens.buffers()[2]) if len(tokens) and tokens.buffers()[2] else memoryview(b""), at[ends])
-                buf, at = texts["ids"]
-                ids_sha = [hashlib.sha256(buf[s : max(s, e - 1)]).hexdigest() for s, e in zip(at[:-1], at[1:], strict=True)]
-                raw, cut = texts["text"]
-                out_sha = [hashlib.sha256(raw[s:e]).hexdigest() for s, e in zip(cut[:-1], cut[1:], strict=True)]
-                arrays = [doc_ids, pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
-                out_names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    spread = _lists(flat, offsets, places)
-                    bounds = n_ids[ends].astype(np.int32)
-                    arrays += [pa.ListArray.from_arrays(pa.array(bounds), spread), pa.array([bytes(raw[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())]
-                    out_names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(arrays, names=out_names)
-
-    return run
-
-
-def _lists(flat: pa.Array, offsets: np.ndarray, places: np.ndarray) -> pa.Array:
-    """The ids of all tokens in order."""
-    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)
-    return lists.take(pa.array(places)).flatten().cast(pa.int32())
-
-
-def encode(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+                    ids = pa.array([heap_bpe(words[i].as_py(), read_ranks(rank_file)) if not ids[i].is_valid else ids[i].as_py() for i in range(len(ids))], pa.list_(pa.int32()))
+                yield results(col["doc_ids"].flatten(), col["sizes"].flatten().to_numpy(), np.frombuffer(col["places"][0].as_buffer(), "<i4"), ids, digits, pieces)
+
+    return run_native if native else run
+
+
+def encode(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, native: bool = False) -> DataFrame:
     """Encode and decode each row's whole text by the ranks of a tiktoken file, without special tokens.
 
     Returns one row for each input row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by
@@ -217,17 +297,22 @@ def encode(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col:
     decoded binary. A null or empty text has no tokens and the digest of no bytes; a null id stays
     null; repeated rows give repeated results; other columns are ignored, whatever their names; an
     empty table gives no rows. The rank file must be at the same path on every node.
+
+    The merges of a block's distinct words are folded together, round by round, in arrays. ``native``
+    folds them by Spark's higher-order functions instead, with the same results (README: figures).
     """
     spark = docs.sparkSession
     bounded_arrow(spark)
+    more = ", ids array<int>, decoded binary" if keep_ids else ""
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + more
     tokens = id_text(docs, id_col, text_col).select("doc_id", F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0)).alias("toks"))
-    blocks = tokens.mapInArrow(_blocks, _BLOCK)
-    with_map = blocks.withColumn("rank_map", F.from_json(F.lit(_map_json(rank_file)), "array<map<string,int>>"))
+    if not native:
+        return tokens.mapInArrow(_encoder(rank_file, keep_ids, False), schema)
+    with_map = tokens.mapInArrow(_blocks, _BLOCK).withColumn("rank_map", F.from_json(F.lit(_map_json(rank_file)), "array<map<string,int>>"))
     latin = "transform(words, u -> decode(cast(u as binary), 'ISO-8859-1'))"
     coded = with_map.selectExpr(
         "doc_ids", "sizes", "places",
         f"transform(words, u -> if(octet_length(u) > {FOLD_BYTES}, u, null)) as words",
         f"transform({latin}, w -> {_fold_sql('w')}) as ids",
     )
-    more = ", ids array<int>, decoded binary" if keep_ids else ""
-    return coded.mapInArrow(_spread(rank_file, keep_ids), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + more)
+    return coded.mapInArrow(_encoder(rank_file, keep_ids, True), schema)
