@@ -21,6 +21,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docforge.llm import substring_dedup
+
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docforge.llm import html_text
 
@@ -57,6 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_html_text": op5_html_text,
         "op7_token_counts": op7_token_counts,
         "op8_near_dup": op8_near_dup,
