@@ -21,18 +21,38 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docforge.llm import search
+
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docforge.llm import substring_dedup
 
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docforge.llm import language_model
+
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docforge.llm import html_text
 
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docforge.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,8 +83,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_search": op2_search,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_language_model": op4_language_model,
         "op5_html_text": op5_html_text,
+        "op6_toxicity": op6_toxicity,
         "op7_token_counts": op7_token_counts,
         "op8_near_dup": op8_near_dup,
         "op9_decontaminate": op9_decontaminate,
