@@ -2,8 +2,8 @@
 
 Texts with equal shingle sets form a class, represented by its smallest id. Representatives are banded
 by MinHash. Candidates of a band meet at the smallest member of their bucket (a star, not all pairs);
-after the components of those links are known, only members of different components in a bucket are
-compared further, so every pair that a band proposes is either compared or already connected.
+after the components of those links are known, members of different components are compared further,
+in tiles of bounded size, so every pair that a band proposes is either compared or already connected.
 
 A candidate is compared by batches of its signature: with m of n equal values the similarity has a beta
 posterior, and the pair is dropped as soon as the probability of reaching the threshold falls below
@@ -56,21 +56,28 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
         yield np.unique(h[a:b])
 
 
+def band_hashes(sigs: np.ndarray) -> np.ndarray:
+    """A hash for each band of each signature (rows of PERMUTATIONS values)."""
+    odd = np.uint64(0x9FB21C651E98DF25)
+    acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sigs), BANDS)).copy()
+    for r in range(ROWS):
+        acc = mixed(acc * odd + sigs[:, r::ROWS].astype(np.uint64))
+    return acc
+
+
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = np.uint64(0x9FB21C651E98DF25)
         for batch in batches_of(batches, 6 << 20):
             n = np.zeros(len(batch), np.int64)
             whole = np.zeros((len(batch), 2), np.uint64)
-            sigs = np.zeros((len(batch), PERMUTATIONS), np.uint64)
+            sigs = np.zeros((len(batch), PERMUTATIONS), np.uint32)
             for i, own in enumerate(_sets(batch, k)):
                 n[i] = len(own)
                 if len(own):
                     whole[i] = mixed(own).sum(dtype=np.uint64), mixed(own ^ odd).sum(dtype=np.uint64)
                     sigs[i] = signature(own)
-            acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(batch), BANDS)).copy()
-            for r in range(ROWS):
-                acc = mixed(acc * odd + sigs[:, r::ROWS])
+            acc = band_hashes(sigs)
             some = n > 0
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)), pa.array(acc[some].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), bands], names=["doc_id", "n", "h1", "h2", "bands"])
@@ -81,11 +88,12 @@ def _sketch(k: int):
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 6 << 20):
-            sigs, sets = [], []
-            for own in _sets(batch, k):
-                sigs.append(signature(own).astype("<u2").tobytes())
+            sigs, sets = np.zeros((len(batch), PERMUTATIONS), np.uint32), []
+            for i, own in enumerate(_sets(batch, k)):
+                sigs[i] = signature(own)
                 sets.append(own.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "sig", "shingles"])
+            cut = lambda m, kind: pa.array([r.tobytes() for r in m.astype(kind)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), cut(sigs, "<u2"), cut(band_hashes(sigs), "<u8"), pa.array(sets, pa.binary())], names=["doc_id", "sig", "bands", "shingles"])
 
     return run
 
@@ -146,6 +154,7 @@ def _verified(pairs: DataFrame, features: DataFrame, percent: int, miss: float)
     groups = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("k")).select("leader", F.ceil(F.col("k") / STAR).cast("int").alias("salts"))
     heads = groups.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     members = pairs.join(groups, "leader").select("leader", F.pmod(F.hash("member"), F.col("salts")).alias("salt"), "member")
+    features = features.drop("bands")
     rows = heads.join(features.withColumnRenamed("doc_id", "leader"), "leader").select("leader", "salt", F.lit(None).cast("long").alias("member"), "sig", "shingles")
     rows = rows.unionByName(members.join(features.withColumnRenamed("doc_id", "member"), "member").select("leader", "salt", "member", "sig", "shingles"))
     dealt = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
@@ -154,6 +163,100 @@ def _verified(pairs: DataFrame, features: DataFrame, percent: int, miss: float)
     return out
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, by matrix products over blocks of shingles."""
+    sizes = np.array([len(s) for s in [*x, *y]])
+    values, place, count = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    some = count > 1
+    column = np.cumsum(some) - 1
+    keep = np.flatnonzero(some[place])
+    row, col = np.repeat(np.arange(len(sizes)), sizes)[keep], column[place[keep]]
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, int(some.sum()), 2048):
+        s, e = np.searchsorted(col, [a, a + 2048])
+        block = np.zeros((len(sizes), 2048), np.float32)
+        block[row[s:e], col[s:e] - a] = 1
+        out += block[: len(x)] @ block[len(x) :].T
+    return out.astype(np.int64)
+
+
+def _compare_tile(rows: list[tuple], percent: int, miss: float) -> tuple[list[int], list[int]]:
+    """Links between the minor and the other members of a tile that are in different components and share a band."""
+    minor, other = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+    if not minor or not other:
+        return [], []
+    arrays = lambda part, i, kind: np.stack([np.frombuffer(r[i], kind) for r in part])
+    n1, n2 = (np.array([r[2] for r in part]) for part in (minor, other))
+    c1, c2 = (np.array([r[3] for r in part]) for part in (minor, other))
+    open_ = (c1[:, None] != c2) & (100 * np.minimum(n1[:, None], n2) >= percent * np.maximum(n1[:, None], n2))
+    b1, b2 = arrays(minor, 5, "<u8"), arrays(other, 5, "<u8")
+    together = np.zeros(open_.shape, bool)
+    for j in range(BANDS):
+        together |= b1[:, j, None] == b2[:, j]
+    open_ &= together
+    s1, s2 = arrays(minor, 4, "<u2"), arrays(other, 4, "<u2")
+    need = least_equal(percent, miss)
+    for i in np.flatnonzero(open_.any(1)):
+        k = np.flatnonzero(open_[i])
+        equal = np.zeros(len(k), np.int64)
+        for j, least in enumerate(need):  # batch after batch, for what is still open
+            equal += (s2[k, BATCH * j : BATCH * (j + 1)] == s1[i, BATCH * j : BATCH * (j + 1)]).sum(1)
+            open_[i, k[equal < least]] = False
+            k, equal = k[equal >= least], equal[equal >= least]
+    x, y = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if not len(x):
+        return [], []
+    shared = shared_counts([np.frombuffer(minor[i][6], "<u8") for i in x], [np.frombuffer(other[j][6], "<u8") for j in y])
+    linked = (100 * shared >= percent * (n1[x][:, None] + n2[y] - shared)) & open_[np.ix_(x, y)]
+    i, j = np.nonzero(linked)
+    return [minor[x[k]][1] for k in i], [other[y[k]][1] for k in j]
+
+
+def _tiles(percent: int, miss: float):
+    """Rows of tiles, each tile's together, to links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows = None, []
+        out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            plain = [batch.column(i).to_pylist() for i in range(3, 10)]
+            for key, *row in zip(keys, *plain, strict=True):
+                if key != tile:
+                    if rows:
+                        yield out(*_compare_tile(rows, percent, miss))
+                    tile, rows = key, []
+                rows.append(tuple(row))
+        if rows:
+            yield out(*_compare_tile(rows, percent, miss))
+
+    return run
+
+
+def _between(members: DataFrame, labels: DataFrame, features: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links between different components of documents whose bands connect them.
+
+    In each such group, the members outside of the largest component (minor) are compared with all
+    others in tiles of bounded size; a tile's rows are documents, not pairs.
+    """
+    groups = components(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
+    own = groups.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "g").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    own = written(own.select("doc_id", "g", F.coalesce("component", "doc_id").alias("c")).join(members.select("doc_id", "n").distinct(), "doc_id"), "grouped")
+    parts = own.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
+    split = parts.groupBy("g").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    split = split.select("g", F.col("top.c").alias("main"), F.ceil(F.col("m") / STAR).cast("int").alias("sy"), F.ceil((F.col("m") - F.col("top.k")) / STAR).cast("int").alias("sx"))
+    mixed_groups = own.join(split, "g")
+    spot = lambda of: F.pmod(F.hash("doc_id"), F.col(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    minor = mixed_groups.where("c <> main").select("g", spot("sx").alias("x"), each("sy").alias("y"), F.lit(0).alias("kind"), "doc_id", "n", "c")
+    other = mixed_groups.select("g", each("sx").alias("x"), spot("sy").alias("y"), F.lit(1).alias("kind"), "doc_id", "n", "c")
+    rows = minor.unionByName(other).join(features, "doc_id").select("g", "x", "y", "kind", "doc_id", "n", "c", "sig", "bands", "shingles")
+    dealt = rows.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "kind")
+    return written(dealt.mapInArrow(_tiles(percent, miss), "a bigint, b bigint"), "between")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups: doc_id, n_shingles, component_id, kept.
 
@@ -180,23 +283,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, mis
     members = written(banded.withColumn("first", first).withColumn("k", F.count(F.lit(1)).over(bucket)).where("k > 1").select("band", "doc_id", "n", F.col("first.doc_id").alias("leader"), F.col("first.n").alias("leader_n")), "members")
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     candidates = members.select("doc_id").distinct()
-    features = written(docs.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_features(shingle), "doc_id bigint, sig binary, shingles binary"), "features")
+    features = written(docs.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_features(shingle), "doc_id bigint, sig binary, bands binary, shingles binary"), "features")
     stars = members.where("doc_id <> leader").where(fits(F.col("n"), F.col("leader_n"))).select("leader", F.col("doc_id").alias("member")).distinct()
     links = _verified(stars, features, percent, miss)
     labels = components(links)
-    # members of different components in one bucket: all but the largest component's against the rest
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    sizes = labelled.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
-    split = sizes.groupBy("band").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("top.c").alias("main"))
-    mixed_buckets = written(labelled.join(split, "band"), "mixed")
-    minor = mixed_buckets.where("c <> main").select("band", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    rest = mixed_buckets.select("band", F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), "main")
-    more = minor.join(rest, "band").where("xc <> yc").where((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))).where(fits(F.col("xn"), F.col("yn"))).select(F.col("x").alias("leader"), F.col("y").alias("member")).distinct()
-    more = more.join(stars.select(F.col("member").alias("leader"), F.col("leader").alias("member")), ["leader", "member"], "left_anti").join(stars, ["leader", "member"], "left_anti")
-    links2 = _verified(more, features, percent, miss)
+    links2 = _between(members, labels, features, percent, miss)
     if links2.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links2.select("a", "b")))
-    release(members, features, mixed_buckets)
+    release(members, features)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.lit(1).alias("some"), F.coalesce("component", "rep").alias("component_id"))
     out = all_docs.select("doc_id", "n", "h1", "h2", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), 1).alias("some")).join(named, ["h1", "h2", "some"], "left")
     component = F.coalesce("component_id", "doc_id")
