@@ -18,17 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm.common import Words, as_bytes, id_text, packed, ranges, unpacked
 from docforge.plans.tables import bounded_arrow, written
 
 #: Documents and bytes of a shard; documents of a block; queries that are scored together.
-SHARD_DOCS, SHARD_BYTES, BLOCK_DOCS, TOGETHER = 8192, 20 << 20, 128, 64
+SHARD_DOCS, SHARD_BYTES, BLOCK_DOCS, TOGETHER = 8192, 16 << 20, 128, 64
 #: Bytes of queries that are broadcast at once; more are taken in further passes over the index.
 QUERY_BYTES = 32 << 20
 QUERY_BLOCK = 256
+#: Shards' lists that are merged at once.
+MERGED = 16
 K1, B = 1.2, 0.75
 
 
@@ -195,7 +197,7 @@ def _searcher(held, average: float, k: int):
                     rows = []
                     for a in range(0, len(term), TOGETHER):
                         rows += shard.search(term[a : a + TOGETHER], weight[a : a + TOGETHER], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x["ids"]), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["query_id", "docs", "scores"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x["ids"]), pa.array(np.full(len(rows), shard.ids[0])), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["query_id", "part", "docs", "scores"])
 
     return run
 
@@ -227,8 +229,13 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "do
     for p in range(passes):
         own = [bytes(r.block) for r in blocks.where(F.pmod(F.xxhash64("block"), F.lit(passes)) == p).collect()]
         held = spark.sparkContext.broadcast(own)
-        part = shards.select("index").mapInArrow(_searcher(held, n_words / max(1, n_docs), k), "query_id bigint, docs array<bigint>, scores array<double>")
+        part = shards.select("index").mapInArrow(_searcher(held, n_words / max(1, n_docs), k), "query_id bigint, part bigint, docs array<bigint>, scores array<double>")
         found = part if found is None else found.unionByName(part)
-    hits = found.select("query_id", F.explode(F.arrays_zip("docs", "scores")).alias("hit")).select("query_id", F.col("hit.docs").alias("doc_id"), F.col("hit.scores").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    hit = "transform(docs, (d, i) -> struct(-scores[i] as s, d as doc_id)) as hits"
+    lists = found.selectExpr("query_id", "part", hit)
+    groups = shards.count()
+    while groups > 1:  # lists of k are merged by 16 at most, so no group grows with the number of shards
+        groups = -(-groups // MERGED)
+        lists = lists.groupBy("query_id", F.pmod(F.hash("part"), F.lit(groups)).alias("part")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
+    ranked = lists.select("query_id", F.posexplode("hits").alias("place", "hit"))
+    return ranked.select("query_id", (F.col("place") + 1).alias("rank"), F.col("hit.doc_id").alias("doc_id"), (-F.col("hit.s")).alias("score"))
