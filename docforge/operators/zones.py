@@ -14,13 +14,13 @@ MARKERS = (
     ("Cataloguing-in-Publication|Cataloging-in-Publication", 5), ("ISBN", 5), ("Reprinted", 3),
 )
 # Signals of document types.
-THESIS = (r"\bthesis\b", r"\bdissertation\b", r"\ba\s+thesis\s+submitted\b", r"\bin\s+partial\s+fulfillment\b", r"\bdegree\s+of\b", "学位论文", "硕士", "博士")
-BOOK = ("图书在版编目", r"\bcip\b", r"\bisbn\b", r"copyright\s*©", r"all\s+rights\s+reserved", r"published\s+by", "出版社", "出版发行")
-PAPER = (r"\bdoi\b", r"\babstract\b", r"\bkeywords?\b", r"received\s*[:：]", r"accepted\s*[:：]", r"corresponding\s+author", r"\bvolume\b", r"\bissue\b", r"\bpp\.")
+THESIS = (r"(?:^|[^\p{L}\p{N}_])thesis(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])dissertation(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])a\s+thesis\s+submitted(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])in\s+partial\s+fulfillment(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])degree\s+of(?:$|[^\p{L}\p{N}_])", "学位论文", "硕士", "博士")
+BOOK = ("图书在版编目", r"(?:^|[^\p{L}\p{N}_])cip(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])isbn(?:$|[^\p{L}\p{N}_])", r"copyright\s*©", r"all\s+rights\s+reserved", r"published\s+by", "出版社", "出版发行")
+PAPER = (r"(?:^|[^\p{L}\p{N}_])doi(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])abstract(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])keywords?(?:$|[^\p{L}\p{N}_])", r"received\s*[:：]", r"accepted\s*[:：]", r"corresponding\s+author", r"(?:^|[^\p{L}\p{N}_])volume(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])issue(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])pp\.")
 PUBLISHER_LINE = r"^[A-Z][\p{L}\p{N}_&'’.,\- ]{0,59}?(?i:press|publications|verlag|books)\.?$"
-BARE_DOI = r"\b10\.\d{4,9}/\S+"
+BARE_DOI = r"(?:^|[^\p{L}\p{N}_])10\.\d{4,9}/\S+"
 # Zone signals.
-CIP = r"(?i)图书在版编目|在版编目|\bCIP\b|Library\s+of\s+Congress"
+CIP = r"(?i)图书在版编目|在版编目|(?:^|[^\p{L}\p{N}_])CIP(?:$|[^\p{L}\p{N}_])|Library\s+of\s+Congress"
 COPYRIGHT = r"(?i)©|\(c\)\s*\d|版权所有|copyright|ISBN"
 CONTENTS = r"(?i)^(?:目\s*录|contents|table\s+of\s+contents|inhalt|sommaire)$"
 LEADER = r"(?:\.{4,}|…{2,}|·{4,}|_{4,})\s*[\d一二三四五六七八九十]+"
@@ -76,7 +76,7 @@ def document_types(lines: DataFrame, pages: DataFrame) -> DataFrame:
 def is_imprint(c: Column) -> Column:
     """Whether a line is a publisher's imprint as a whole."""
     pub, place = F.rtrim(F.regexp_extract(c, IMPRINT, 1), F.lit(" .,")), F.rtrim(F.regexp_extract(c, IMPRINT, 2), F.lit(" .,"))
-    latin = c.rlike(IMPRINT) & ~pub.rlike(r"\d") & ~place.rlike(r"\d") & ~c.rlike(r"(?i)\bby\b") & pub.rlike("[A-Z]") & ((T.word_count(pub) <= 6) | (place != "") | c.rlike(r"\b(?:1[5-9]|20)\d{2}\b"))
+    latin = c.rlike(IMPRINT) & ~pub.rlike(r"\d") & ~place.rlike(r"\d") & ~c.rlike(r"(?i)(?:^|[^\p{L}\p{N}_])by(?:$|[^\p{L}\p{N}_])") & pub.rlike("[A-Z]") & ((T.word_count(pub) <= 6) | (place != "") | c.rlike(r"(?:^|[^\p{L}\p{N}_])(?:1[5-9]|20)\d{2}(?:$|[^\p{L}\p{N}_])"))
     return (c != "") & (F.length(c) <= 100) & (c.rlike(IMPRINT_CJK) | latin)
 
 

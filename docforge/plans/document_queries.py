@@ -183,7 +183,7 @@ _PUB, _PLACE = (f"regexp_replace(regexp_extract(t, {q(zones.IMPRINT)}, {i}), '[
     "E01",
     f"""WITH $LINES, b0 AS (SELECT doc_id, line_no, line, line_no // 5 + 1 AS page, {strip("line")} AS t, {rkey("line")} AS key FROM lines),
     b1 AS (SELECT *, CASE WHEN {has("line", zones.CIP)} THEN 'cip' WHEN {has("line", zones.COPYRIGHT)} THEN 'copyright'
-      WHEN t <> '' AND length(t) <= 100 AND ({has("t", zones.IMPRINT_CJK)} OR ({has("t", zones.IMPRINT)} AND NOT {has(_PUB, r"\d")} AND NOT {has(_PLACE, r"\d")} AND NOT {has("t", r"(?i)\bby\b")} AND {has(_PUB, "[A-Z]")} AND ({many(_PUB, r"\S+")} <= 6 OR {_PLACE} <> '' OR {has("t", r"\b(?:1[5-9]|20)\d{2}\b")}))) THEN 'imprint'
+      WHEN t <> '' AND length(t) <= 100 AND ({has("t", zones.IMPRINT_CJK)} OR ({has("t", zones.IMPRINT)} AND NOT {has(_PUB, r"\d")} AND NOT {has(_PLACE, r"\d")} AND NOT {has("t", r"(?i)(?:^|[^\p{L}\p{N}_])by(?:$|[^\p{L}\p{N}_])")} AND {has(_PUB, "[A-Z]")} AND ({many(_PUB, r"\S+")} <= 6 OR {_PLACE} <> '' OR {has("t", r"(?:^|[^\p{L}\p{N}_])(?:1[5-9]|20)\d{2}(?:$|[^\p{L}\p{N}_])")}))) THEN 'imprint'
       WHEN {has("t", zones.CONTENTS)} THEN 'contents' ELSE 'body' END AS z FROM b0),
     b2 AS (SELECT *, bool_or(z = 'cip') OVER p AS has_cip, bool_or(z = 'contents') OVER p OR sum(CASE WHEN {has("line", zones.LEADER)} THEN 1 ELSE 0 END) OVER p >= 2 AS has_contents FROM b1 WINDOW p AS (PARTITION BY doc_id, page)),
     b3 AS (SELECT * REPLACE (CASE WHEN has_cip AND z IN ('body', 'copyright') THEN 'cip' WHEN NOT has_cip AND has_contents AND z = 'body' THEN 'contents' ELSE z END AS z) FROM b2),

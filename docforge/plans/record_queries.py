@@ -158,12 +158,12 @@ def score_by_facet(t):
     return c.select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("source", F.lit("*")).alias("source"), "n", "tp", "fp", "fn")
 
 
-_TWO = r"a AS (SELECT doc_id AS id, lang AS v FROM documents WHERE n_chars > 200), b AS (SELECT doc_id AS id, CASE WHEN regexp_matches(text, '(?i)\b(der|die|und)\b') THEN 'de' WHEN regexp_matches(text, '(?i)\b(the|and|of)\b') THEN 'en' ELSE 'fr' END AS v FROM documents WHERE n_chars < 4000)"
+_TWO = r"a AS (SELECT doc_id AS id, lang AS v FROM documents WHERE n_chars > 200), b AS (SELECT doc_id AS id, CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(der|die|und)(?:$|[^\p{L}\p{N}_])') THEN 'de' WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(the|and|of)(?:$|[^\p{L}\p{N}_])') THEN 'en' ELSE 'fr' END AS v FROM documents WHERE n_chars < 4000)"
 
 
 def _two(t):
     d = t("documents")
-    guess = F.when(F.col("text").rlike(r"(?i)\b(der|die|und)\b"), "de").when(F.col("text").rlike(r"(?i)\b(the|and|of)\b"), "en").otherwise("fr")
+    guess = F.when(F.col("text").rlike(r"(?i)(?:^|[^\p{L}\p{N}_])(der|die|und)(?:$|[^\p{L}\p{N}_])"), "de").when(F.col("text").rlike(r"(?i)(?:^|[^\p{L}\p{N}_])(the|and|of)(?:$|[^\p{L}\p{N}_])"), "en").otherwise("fr")
     return d.where("n_chars > 200").select(F.col("doc_id").alias("id"), F.col("lang").alias("v")), d.where("n_chars < 4000").select(F.col("doc_id").alias("id"), guess.alias("v"))
 
 
