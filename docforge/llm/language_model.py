@@ -24,7 +24,7 @@ from docforge.plans.tables import bounded_arrow, written
 
 #: No word can be this: it stands for the end of a text.
 END = b"\n"
-HEAD, SPELLINGS, SIZE = 79, 48, 32
+HEAD, SPELLINGS, SIZE = 79, 16, 32
 #: Words whose spelling fits the classes, and words whose counts are held by every task.
 FIT_WORDS, HELD_WORDS = 20_000, 131_072
 STEPS, BATCH, NOISE = 1_500, 2_048, 10
