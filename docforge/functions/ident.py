@@ -150,3 +150,16 @@ def split_title(c: Column) -> tuple[Column, Column]:
     head, tail = F.trim(F.regexp_extract(c, p, 1)), F.trim(F.regexp_extract(c, p, 2))
     ok = c.rlike(p) & (head != "") & (F.length(tail) >= 3)
     return F.when(ok, head), F.when(ok, tail)
+
+
+# Eras and the year before their first.
+ERAS = {"民國": 1911, "明治": 1867, "大正": 1911, "昭和": 1925, "平成": 1988, "令和": 2018}
+
+
+def era_year(c: Column) -> Column:
+    """Year of an era in the common calendar, or null."""
+    number = F.regexp_extract(c, r"(\d+)年", 1).try_cast("long")
+    out = F.lit(None).cast("long")
+    for name, before in ERAS.items():
+        out = F.when(c.contains(name), number + before).otherwise(out)
+    return out

@@ -107,11 +107,10 @@ def label_zones(blocks: DataFrame) -> DataFrame:
 
 def zone_rank(zone: Column) -> Column:
     """Reading priority of a zone."""
-    return F.coalesce(F.expr(f"nullif(array_position(array({','.join(repr(z) for z in ZONE_ORDER)}), {_name(zone)}), 0)") - 1, F.lit(7)).cast("long")
-
-
-def _name(c: Column) -> str:
-    return c._jc.toString()
+    out = F.lit(ZONE_ORDER.index("other"))
+    for i, z in enumerate(ZONE_ORDER):
+        out = F.when(zone == z, i).otherwise(out)
+    return out.cast("long")
 
 
 def evidence_scores(lines: DataFrame, terms: list[str], imprint: str = "(?i)copyright|license", bibliography: str = "(?i)references|bibliography", identity: str = "(?i)title|author|publisher") -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from docforge.plans import document_queries, record_queries  # noqa: F401
+from docforge.plans import document_queries, record_queries, rule_queries  # noqa: F401
 from docforge.plans.registry import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
