@@ -37,7 +37,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and its decoded bytes' digest."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_ids=True).drop("decoded")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [("toxicity", toxic), ("near_dup", near), ("substring_dedup", substrings), ("decontaminate", benchmark), ("bpe", tokens)]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import PairTable, as_bytes, id_text
+from docforge.llm.common import as_bytes, id_text, PairTable, tidied
 from docforge.plans.tables import bounded_arrow
 
 #: The public pattern, with Unicode's White_Space spelt out as Java needs it.
@@ -41,7 +41,7 @@ NEVER = 1 << 40
 #: Words of more bytes than this are folded with a heap in the Arrow step, as an array fold takes squared time.
 FOLD_BYTES = 192
 #: Tokens of a block; bounds the memory of a task.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 
 
 @lru_cache(maxsize=4)
@@ -239,7 +239,7 @@ def _spread_out(words: pa.BinaryArray, index: pa.Array, ends: np.ndarray) -> tup
     return memoryview(tokens.buffers()[2] or b""), at[ends].astype(np.int64)
 
 
-def _encoder(rank_file: str, keep_ids: bool, native: bool):
+def _encoder(rank_file: str, keep_ids: bool, keep_decoded: bool, native: bool):
     """Blocks of documents to results. native: the ids of distinct words come with the block."""
 
     def tables() -> tuple[pa.BinaryArray, pa.BinaryArray]:
@@ -265,8 +265,11 @@ def _encoder(rank_file: str, keep_ids: bool, native: bool):
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if keep_ids:
             spread = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat).take(index).flatten() if len(places) else flat
-            arrays += [pa.ListArray.from_arrays(pa.array(n_ids[ends].astype(np.int32)), spread.cast(pa.int32())), pa.array([bytes(raw[s:e]) for s, e in cuts(at)], pa.binary())]
-            names += ["ids", "decoded"]
+            arrays.append(pa.ListArray.from_arrays(pa.array(n_ids[ends].astype(np.int32)), spread.cast(pa.int32())))
+            names.append("ids")
+        if keep_decoded:
+            arrays.append(pa.array([bytes(raw[s:e]) for s, e in cuts(at)], pa.binary()))
+            names.append("decoded")
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,12 +292,12 @@ def _encoder(rank_file: str, keep_ids: bool, native: bool):
     return run_native if native else run
 
 
-def encode(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, native: bool = False) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_decoded: bool = False, native: bool = False) -> DataFrame:
     """Encode and decode each row's whole text by the ranks of a tiktoken file, without special tokens.
 
     Returns one row for each input row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by
-    commas), decoded_sha256 (of the decoded bytes), and with ``keep_ids`` also ids array<int> and
-    decoded binary. A null or empty text has no tokens and the digest of no bytes; a null id stays
+    commas), decoded_sha256 (of the decoded bytes), with ``keep_ids`` also ids array<int>, and with
+    ``keep_decoded`` decoded binary. A null or empty text has no tokens and the digest of no bytes; a null id stays
     null; repeated rows give repeated results; other columns are ignored, whatever their names; an
     empty table gives no rows. The rank file must be at the same path on every node.
 
@@ -303,16 +306,16 @@ def encode(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     bounded_arrow(spark)
-    more = ", ids array<int>, decoded binary" if keep_ids else ""
+    more = ", ids array<int>" * keep_ids + ", decoded binary" * keep_decoded
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + more
     tokens = id_text(docs, id_col, text_col).select("doc_id", F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0)).alias("toks"))
     if not native:
-        return tokens.mapInArrow(_encoder(rank_file, keep_ids, False), schema)
-    with_map = tokens.mapInArrow(_blocks, _BLOCK).withColumn("rank_map", F.from_json(F.lit(_map_json(rank_file)), "array<map<string,int>>"))
+        return tokens.mapInArrow(tidied(_encoder(rank_file, keep_ids, keep_decoded, False)), schema)
+    with_map = tokens.mapInArrow(tidied(_blocks), _BLOCK).withColumn("rank_map", F.from_json(F.lit(_map_json(rank_file)), "array<map<string,int>>"))
     latin = "transform(words, u -> decode(cast(u as binary), 'ISO-8859-1'))"
     coded = with_map.selectExpr(
         "doc_ids", "sizes", "places",
         f"transform(words, u -> if(octet_length(u) > {FOLD_BYTES}, u, null)) as words",
         f"transform({latin}, w -> {_fold_sql('w')}) as ids",
     )
-    return coded.mapInArrow(_encoder(rank_file, keep_ids, True), schema)
+    return coded.mapInArrow(tidied(_encoder(rank_file, keep_ids, keep_decoded, True)), schema)

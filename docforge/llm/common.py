@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,6 +38,41 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def trim() -> None:
+    """Give memory that is no longer used back to the system: workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(f: Callable) -> Callable:
+    """A function over batches that tidies up after its last one."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def tidied_group(f: Callable) -> Callable:
+    """A function over groups that tidies up after each one."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = f(table)
+        trim()
+        return out
+
+    def two(table: pa.Table, other: pa.Table) -> pa.Table:
+        out = f(table, other)
+        trim()
+        return out
+
+    return two if len(inspect.signature(f).parameters) == 2 else one
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

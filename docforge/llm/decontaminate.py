@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import Words, as_bytes, batches_of, id_text
+from docforge.llm.common import as_bytes, batches_of, id_text, tidied, Words
 from docforge.plans.tables import bounded_arrow, written
 
 #: Upper item sizes of the classes (in shingles) and their sketch sizes; larger items have the last.
@@ -112,7 +112,7 @@ def _item_sets(k: int):
 def item_blocks(items: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> Iterator[Items]:
     """Indexes of the items, block by block: each is of bounded size, whatever their number."""
     bounded_arrow(items.sparkSession)
-    sets = written(id_text(items, id_col, text_col).mapInArrow(_item_sets(k), "item_id bigint, shingles binary"), "items")
+    sets = written(id_text(items, id_col, text_col).mapInArrow(tidied(_item_sets(k)), "item_id bigint, shingles binary"), "items")
     total = sets.agg(F.sum(F.octet_length("shingles") + 16)).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_BYTES))
     for b in range(n):
@@ -147,7 +147,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, shingle: int = 5, perc
                     names=["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"],
                 )
 
-        part = id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, item_id bigint, n_item_shingles bigint, n_shared bigint, containment double")
+        part = id_text(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id bigint, item_id bigint, n_item_shingles bigint, n_shared bigint, containment double")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -168,5 +168,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, perce
                 keep[d] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docforge.llm.common import tidied
 from docforge.plans.tables import bounded_arrow
 
 # Frequent function words of English, German, French and Spanish.
@@ -220,4 +221,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     bounded_arrow(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.mapInArrow(tidied(_extract), "page_id bigint, url string, text string, n_chars bigint")

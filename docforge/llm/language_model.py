@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docforge.llm.common import Words, as_bytes, batches_of, fold
+from docforge.llm.common import as_bytes, batches_of, fold, tidied, Words
 from docforge.plans.tables import bounded_arrow, written
 
 #: No word can be this: it stands for the end of a text.
@@ -253,15 +253,15 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     held_out = F.coalesce(fold(F.col(id_col).cast("long"), 7) == 2, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     training = rows.where(~F.col("held_out")).select("doc_id", "text")
-    counts = written(training.mapInArrow(_counter, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = written(training.mapInArrow(tidied(_counter), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(HELD_WORDS).toArrow()
     spelled, count = top.column("word").combine_chunks(), top.column("n").to_numpy()
     end_count = (counts.where(F.col("word") == F.lit(END)).first() or (0, 0))[1]
     classes = fit_classes(list(zip(spelled.slice(0, FIT_WORDS).to_pylist(), count[:FIT_WORDS].tolist(), strict=True)))
     held_classes = spark.sparkContext.broadcast(classes)
-    cells = training.mapInArrow(_trigrams(held_classes), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    sizes = counts.where(F.col("word") != F.lit(END)).mapInArrow(_class_sizes(held_classes), "cls bigint, n bigint, v bigint").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    cells = training.mapInArrow(tidied(_trigrams(held_classes)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sizes = counts.where(F.col("word") != F.lit(END)).mapInArrow(tidied(_class_sizes(held_classes)), "cls bigint, n bigint, v bigint").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     log_size = np.zeros(classes.n)
     for r in sizes:
         log_size[r.cls] = np.log10(r.n + r.v + 1)
@@ -272,7 +272,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     order = np.argsort(hashes)
     model = Model(classes, table, log_size, hashes[order], count[order].astype(float), int(end_count))
     scored = written(
-        rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), "part int, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, lm double, rare array<binary>, times array<bigint>"),
+        rows.mapInArrow(tidied(_scorer(spark.sparkContext.broadcast(model))), "part int, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, lm double, rare array<binary>, times array<bigint>"),
         "scored",
     )
     rare = scored.select("part", "row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("part", "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))

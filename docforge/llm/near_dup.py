@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docforge.llm.common import Words, as_bytes, batches_of, id_text, mixed
+from docforge.llm.common import as_bytes, batches_of, id_text, mixed, tidied, Words
 from docforge.llm.components import components
 from docforge.plans.tables import bounded_arrow, release, written
 
@@ -158,7 +158,7 @@ def _verified(pairs: DataFrame, features: DataFrame, percent: int, miss: float)
     rows = heads.join(features.withColumnRenamed("doc_id", "leader"), "leader").select("leader", "salt", F.lit(None).cast("long").alias("member"), "sig", "shingles")
     rows = rows.unionByName(members.join(features.withColumnRenamed("doc_id", "member"), "member").select("leader", "salt", "member", "sig", "shingles"))
     dealt = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
-    out = written(dealt.mapInArrow(_verifier(percent, miss), "a bigint, b bigint"), "links")
+    out = written(dealt.mapInArrow(tidied(_verifier(percent, miss)), "a bigint, b bigint"), "links")
     release(pairs)
     return out
 
@@ -254,7 +254,7 @@ def _between(members: DataFrame, labels: DataFrame, features: DataFrame, percent
     other = mixed_groups.select("g", each("sx").alias("x"), spot("sy").alias("y"), F.lit(1).alias("kind"), "doc_id", "n", "c")
     rows = minor.unionByName(other).join(features, "doc_id").select("g", "x", "y", "kind", "doc_id", "n", "c", "sig", "bands", "shingles")
     dealt = rows.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "kind")
-    return written(dealt.mapInArrow(_tiles(percent, miss), "a bigint, b bigint"), "between")
+    return written(dealt.mapInArrow(tidied(_tiles(percent, miss)), "a bigint, b bigint"), "between")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, mis
     spark = docs.sparkSession
     bounded_arrow(spark)
     docs = id_text(docs, id_col, text_col)
-    all_docs = written(docs.mapInArrow(_sketch(shingle), "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>"), "sketches")
+    all_docs = written(docs.mapInArrow(tidied(_sketch(shingle)), "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>"), "sketches")
     some = all_docs.where("n > 0 and doc_id is not null")
     classes = written(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, mis
     members = written(banded.withColumn("first", first).withColumn("k", F.count(F.lit(1)).over(bucket)).where("k > 1").select("band", "doc_id", "n", F.col("first.doc_id").alias("leader"), F.col("first.n").alias("leader_n")), "members")
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     candidates = members.select("doc_id").distinct()
-    features = written(docs.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_features(shingle), "doc_id bigint, sig binary, bands binary, shingles binary"), "features")
+    features = written(docs.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(tidied(_features(shingle)), "doc_id bigint, sig binary, bands binary, shingles binary"), "features")
     stars = members.where("doc_id <> leader").where(fits(F.col("n"), F.col("leader_n"))).select("leader", F.col("doc_id").alias("member")).distinct()
     links = _verified(stars, features, percent, miss)
     labels = components(links)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import Words, as_bytes, id_text, packed, ranges, unpacked
+from docforge.llm.common import as_bytes, id_text, packed, ranges, tidied, tidied_group, unpacked, Words
 from docforge.plans.tables import bounded_arrow, written
 
 #: Documents and bytes of a shard; documents of a block; queries that are scored together.
@@ -214,22 +214,22 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "do
     """
     spark = docs.sparkSession
     bounded_arrow(spark)
-    shards = written(id_text(docs, id_col, text_col).where("doc_id is not null").mapInArrow(_index, "n_docs bigint, n_words bigint, terms binary, df binary, index binary"), "index")
+    shards = written(id_text(docs, id_col, text_col).where("doc_id is not null").mapInArrow(tidied(_index), "n_docs bigint, n_words bigint, terms binary, df binary, index binary"), "index")
     n_docs, n_words = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    df = shards.select("terms", "df").mapInArrow(_frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    df = shards.select("terms", "df").mapInArrow(tidied(_frequencies), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
     asked = id_text(queries, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
     n_asked = asked.count()
-    terms = asked.mapInArrow(_query_terms, "query_id bigint, term bigint, qtf bigint")
+    terms = asked.mapInArrow(tidied(_query_terms), "query_id bigint, term bigint, qtf bigint")
     idf = F.log1p((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(df, "term").select(F.pmod(F.xxhash64("query_id"), F.lit(max(1, math.ceil(n_asked / QUERY_BLOCK)))).alias("b"), "query_id", "term", (F.col("qtf") * idf).alias("weight"))
-    blocks = written(weighted.groupBy("b").applyInArrow(_query_block, "block binary"), "queries")
+    blocks = written(weighted.groupBy("b").applyInArrow(tidied_group(_query_block), "block binary"), "queries")
     size = blocks.agg(F.coalesce(F.sum(F.octet_length("block")), F.lit(0))).first()[0]
     passes = max(1, math.ceil(size / QUERY_BYTES))
     found = None
     for p in range(passes):
         own = [bytes(r.block) for r in blocks.where(F.pmod(F.xxhash64("block"), F.lit(passes)) == p).collect()]
         held = spark.sparkContext.broadcast(own)
-        part = shards.select("index").mapInArrow(_searcher(held, n_words / max(1, n_docs), k), "query_id bigint, part bigint, docs array<bigint>, scores array<double>")
+        part = shards.select("index").mapInArrow(tidied(_searcher(held, n_words / max(1, n_docs), k)), "query_id bigint, part bigint, docs array<bigint>, scores array<double>")
         found = part if found is None else found.unionByName(part)
     hit = "transform(docs, (d, i) -> struct(-scores[i] as s, d as doc_id)) as hits"
     lists = found.selectExpr("query_id", "part", hit)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import POWERS, as_bytes, blocks_of, mixed, packed, prefix_hashes, ranges, unpacked
+from docforge.llm.common import as_bytes, blocks_of, mixed, packed, POWERS, prefix_hashes, ranges, tidied_group, unpacked
 from docforge.plans.tables import bounded_arrow
 
 WINDOW, K = 50, 25
@@ -379,10 +379,10 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, extra: bool) -> tuple[
 def _found(chunked: DataFrame, chunks: int) -> tuple[DataFrame, int]:
     """For each chunk, the windows' least ids around shared anchors; and the number of buckets."""
     buckets = max(1, chunks // 2)
-    hashes = chunked.groupBy("__chunk").applyInArrow(_send_hashes(buckets), _SQL["A"])
-    shared = hashes.groupBy("bucket").applyInArrow(_share, _SQL["B"])
-    segments = chunked.groupBy("__chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_segments(buckets), _SQL["A"])
-    return segments.groupBy("bucket").applyInArrow(_compare, _SQL["B"]), buckets
+    hashes = chunked.groupBy("__chunk").applyInArrow(tidied_group(_send_hashes(buckets)), _SQL["A"])
+    shared = hashes.groupBy("bucket").applyInArrow(tidied_group(_share), _SQL["B"])
+    segments = chunked.groupBy("__chunk").cogroup(shared.groupBy("chunk")).applyInArrow(tidied_group(_send_segments(buckets)), _SQL["A"])
+    return segments.groupBy("bucket").applyInArrow(tidied_group(_compare), _SQL["B"]), buckets
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,7 +397,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     bounded_arrow(docs.sparkSession)
     chunked, chunks = _chunked(docs, id_col, text_col, extra=False)
     found, buckets = _found(chunked, chunks)
-    return chunked.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(_digest(buckets), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return chunked.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(tidied_group(_digest(buckets)), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,4 +408,4 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bounded_arrow(docs.sparkSession)
     chunked, chunks = _chunked(docs, id_col, text_col, extra=True)
     found, buckets = _found(chunked, chunks)
-    return chunked.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(_rewrite(buckets, text_col), docs.schema)
+    return chunked.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(tidied_group(_rewrite(buckets, text_col)), docs.schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docforge.llm.common import POWERS, PairTable, Words, as_bytes, batches_of, id_text, mixed
+from docforge.llm.common import as_bytes, batches_of, id_text, mixed, PairTable, POWERS, tidied, Words
 from docforge.plans.tables import bounded_arrow
 
 #: A byte without a piece costs this much more than the rarest piece.
@@ -174,4 +174,4 @@ def token_counts(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", te
     repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
     """
     bounded_arrow(docs.sparkSession)
-    return id_text(docs, id_col, text_col).mapInArrow(_counter(model_file), "doc_id bigint, n_tokens bigint, n_pretokens bigint, n_bytes bigint, log_prob double")
+    return id_text(docs, id_col, text_col).mapInArrow(tidied(_counter(model_file)), "doc_id bigint, n_tokens bigint, n_pretokens bigint, n_bytes bigint, log_prob double")

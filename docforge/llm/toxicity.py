@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import Words, as_bytes, batches_of, fold, id_text, ranges
+from docforge.llm.common import as_bytes, batches_of, fold, id_text, ranges, tidied, Words
 from docforge.plans.tables import bounded_arrow, written
 
 #: Labelled rows that are used at most, candidate patterns, and patterns that are kept.
@@ -228,12 +228,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not n_toxic or not n_other:
         return Model([], *(np.zeros(0),) * 3, constant=(n_toxic + 0.5) / (n_toxic + n_other + 1) if n_toxic else 0.0)
     support = max(2, n_toxic // 250)
-    mined = sample.where("toxic > 0").mapInArrow(_mine, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    mined = sample.where("toxic > 0").mapInArrow(tidied(_mine), "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
     toxic = Counter({r.pattern: r.n for r in mined.orderBy(F.desc("n"), "pattern").limit(4 * CANDIDATES).collect()})
     names = sorted(toxic)
-    held = sample.where("toxic <= 0").mapInArrow(_matches(names), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    held = sample.where("toxic <= 0").mapInArrow(tidied(_matches(names)), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
     patterns = _chosen(toxic, {names[r.i]: r.n for r in held}, n_toxic, n_other)
-    got = sample.mapInArrow(_rows(patterns), "doc_id bigint, toxic int, present binary, counts binary").toArrow().sort_by("doc_id")
+    got = sample.mapInArrow(tidied(_rows(patterns)), "doc_id bigint, toxic int, present binary, counts binary").toArrow().sort_by("doc_id")
     present = np.frombuffer(b"".join(got.column("present").to_pylist()), bool).reshape(got.num_rows, len(patterns))
     counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), float).reshape(got.num_rows, 4)
     q = label_model(votes(present, counts), got.column("toxic").to_numpy())
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = id_text(docs, id_col, text_col).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -271,4 +271,4 @@ def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> D
             s = held.value.scores(as_bytes(batch.column(place).cast(pa.string()).fill_null("")))
             yield batch.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docforge.llm.common import tidied
 from docforge.plans.tables import bounded_arrow, new_path, written
 
 #: Uncompressed bytes of a shard, compressed bytes at which a file is rolled, and id ranges that are counted.
@@ -167,7 +168,7 @@ def write_warc(pages: DataFrame, root: str | None = None, *, least_bytes: int =
     html = rows.select(shard, "page_id", F.lit(1).alias("kind"), "url", F.col("html").cast("binary").alias("html"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("long").alias("first_id"))
     marks = revisits.select(shard, "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "sha1", "first_id")
     dealt = html.unionByName(marks).repartition(shards, slot(spark, shards)).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
-    return root, written(dealt.mapInArrow(_writer(root, roll_bytes, date), "file string, n_records bigint, n_bytes bigint, sha256 string"), "manifest")
+    return root, written(dealt.mapInArrow(tidied(_writer(root, roll_bytes, date)), "file string, n_records bigint, n_bytes bigint, sha256 string"), "manifest")
 
 
 def slot(spark: SparkSession, n: int):
@@ -239,4 +240,4 @@ def read_warc(spark: SparkSession, root: str, *, payloads: bool = True) -> DataF
     bounded_arrow(spark)
     schema = "file string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(root).select("path", "content")
-    return files.mapInArrow(_reader, schema + ", payload binary") if payloads else files.mapInArrow(_facts, schema)
+    return files.mapInArrow(tidied(_reader), schema + ", payload binary") if payloads else files.mapInArrow(tidied(_facts), schema)
