@@ -181,16 +181,19 @@ class Suffixes:
 
     def common(self, s: np.ndarray, o: np.ndarray, t: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Common extension of suffixes (s at o) and (t at p), up to WINDOW bytes, by binary search."""
-        low, high = np.zeros(len(s), np.int64), np.full(len(s), WINDOW)
+        flat, width = self.prefix.ravel(), self.prefix.shape[1]
+        a, b = s * width + o, t * width + p
+        pa_, pb, da, db = flat[a], flat[b], self.down[o], self.down[p]
+        full = (flat[a + WINDOW] - pa_) * da == (flat[b + WINDOW] - pb) * db
+        low, high = np.where(full, WINDOW, 0), np.where(full, WINDOW, WINDOW - 1)
         while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
+            k = np.flatnonzero(low < high)
+            if not len(k):
                 return low
-            mid = (low[open_] + high[open_] + 1) // 2
-            x, i, y, j = s[open_], o[open_], t[open_], p[open_]
-            same = (self.prefix[x, i + mid] - self.prefix[x, i]) * self.down[i] == (self.prefix[y, j + mid] - self.prefix[y, j]) * self.down[j]
-            low[open_] = np.where(same, mid, low[open_])
-            high[open_] = np.where(same, high[open_], mid - 1)
+            mid = (low[k] + high[k] + 1) // 2
+            same = (flat[a[k] + mid] - pa_[k]) * da[k] == (flat[b[k] + mid] - pb[k]) * db[k]
+            low[k] = np.where(same, mid, low[k])
+            high[k] = np.where(same, high[k], mid - 1)
 
     def before(self, s, o, t, p, or_equal: bool) -> np.ndarray:
         """Whether suffix (s at o) sorts before (t at p)."""
