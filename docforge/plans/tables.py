@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 #: Bound of one Arrow batch on its way to a Python worker, in bytes.
-ARROW_BATCH_BYTES = 24 << 20
+ARROW_BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
