@@ -41,7 +41,7 @@ NEVER = 1 << 40
 #: Words of more bytes than this are folded with a heap in the Arrow step, as an array fold takes squared time.
 FOLD_BYTES = 192
 #: Tokens of a block; bounds the memory of a task.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 
 
 @lru_cache(maxsize=4)
