@@ -113,19 +113,18 @@ def train(cells: np.ndarray, counts: np.ndarray, c: int) -> np.ndarray:
         heap = np.cumsum(counts)
         draw = np.cumsum(noise)
         seen = {k: np.full(v.shape, 1e-6) for k, v in (("first", first), ("second", second), ("out", out), ("bias", bias))}
+        rows, one = np.arange(BATCH), np.eye(c)
         for _ in range(STEPS):
             i = np.searchsorted(heap, rng.random(BATCH) * heap[-1], side="right")
             z = np.minimum(np.searchsorted(draw, rng.random((BATCH, NOISE))), c - 1)
             u = np.concatenate([y[i][:, None], z], 1)
             ctx = first[a[i]] + second[b[i]]
-            score = np.einsum("bd,bkd->bk", ctx, out[u]) + bias[u]
-            p = 1 / (1 + np.exp(-(score - log_noise[u] - np.log(NOISE))))
-            g = -p
+            score = np.take_along_axis(ctx @ out.T + bias, u, 1)
+            g = -1 / (1 + np.exp(-(score - log_noise[u] - np.log(NOISE))))
             g[:, 0] += 1  # of the log-likelihood that the first is data and the others noise
-            grad_ctx = np.einsum("bk,bkd->bd", g, out[u])
-            for name, x, at, grad in (("out", out, u.ravel(), (g[:, :, None] * ctx[:, None]).reshape(-1, SIZE)), ("bias", bias, u.ravel(), g.ravel()), ("first", first, a[i], grad_ctx), ("second", second, b[i], grad_ctx)):
-                total = np.zeros_like(x)
-                np.add.at(total, at, grad)
+            by_class = np.bincount((rows[:, None] * c + u).ravel(), weights=g.ravel(), minlength=BATCH * c).reshape(BATCH, c)
+            grad_ctx = by_class @ out
+            for name, x, total in (("out", out, by_class.T @ ctx), ("bias", bias, by_class.sum(0)), ("first", first, one[a[i]].T @ grad_ctx), ("second", second, one[b[i]].T @ grad_ctx)):
                 seen[name] += total**2
                 x += 0.3 * total / np.sqrt(seen[name])
     table = np.empty((c * c, c), np.float32)
