@@ -158,6 +158,23 @@ def test_language_model(docs, odd, monkeypatch):
             assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_spelling_classes():
+    """48 spelling classes, and the best of them by the sums over byte pairs, for words of any length."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docforge.llm.common import Words
+
+    top = [(b"%dw%x" % (i * 7919 % 1000, i * i), 900 - i) for i in range(600)]
+    classes = language_model.fit_classes(top)
+    assert classes.logp.shape[1] == 48 and classes.n == 1 + 79 + 48
+    own = [w for w, _ in top[79:]] + [b"z", b"q" * 300, b"1w2" * 900]
+    got = classes.of(Words(pa.array(own, pa.binary())), np.arange(len(own)))
+    for w, c in zip(own, got, strict=True):
+        score = sum(classes.logp[classes.pair_row[a << 8 | b]].astype(float) for a, b in itertools.pairwise((0, *w, 0)))
+        assert score[c - 80] >= score.max() - 1e-3 * abs(score.max())
+
+
 def test_class_probabilities_are_normalised():
     import numpy as np
 
