@@ -4,7 +4,9 @@ The model's probability of a token is P(class | the two classes before) * P(word
 words are classes of their own; the others belong to one of some spelling classes, a mixture over
 byte pairs. Class vectors are log-bilinear: the context predicts a vector, a linear map of the vectors
 of the two classes before, and a class scores by its product with it. They are trained in numpy by
-noise-contrastive estimation on class trigrams counted over all training texts. Batched matrix
+noise-contrastive estimation, in passes over all class trigrams counted in the training texts. Spelling
+classes are started on the most frequent words and fitted to all distinct ones; their number grows with
+these. Batched matrix
 products over all contexts give normalised log-probabilities, a table of which scores tokens.
 P(word | class) and the base score come from exact counts of every training token.
 """
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docforge.llm.common import as_bytes, batches_of, fold, tidied, Words
+from docforge.llm.common import as_bytes, batches_of, fold, ranges, tidied, Words
 from docforge.plans.tables import bounded_arrow, written
 
 #: No word can be this: it stands for the end of a text.
@@ -27,9 +29,12 @@ END = b"\n"
 HEAD, SPELLINGS, SIZE = 79, 48, 32
 #: Words that are classed at once, and byte pairs up to which their sums go place by place.
 WORD_BLOCK, LONG = 1_024, 256
-#: Words whose spelling fits the classes, and words whose counts are held by every task.
+#: Words whose spelling starts the classes, and words whose counts are held by every task.
 FIT_WORDS, HELD_WORDS = 20_000, 131_072
-STEPS, BATCH, NOISE = 1_500, 2_048, 10
+#: Gradient steps at least, passes over all counted contexts at least, contexts of a step, and noise for each token.
+STEPS, EPOCHS, BATCH, NOISE = 1_500, 150, 2_048, 10
+#: Passes over all distinct words that shape the spelling classes, classes more for each doubling of the words past HELD_WORDS, and the most of them.
+PASSES, GROWN, MOST_SPELLINGS = 2, 4, 128
 
 
 def summed_rows(logp: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -63,8 +68,8 @@ class Classes:
     logp: np.ndarray
     n: int
 
-    def of(self, words: Words, which: np.ndarray) -> np.ndarray:
-        """Classes of chosen words."""
+    def spelling(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spelling classes of chosen words, counted from 0; their byte pairs one after the other, and how many each has."""
         start, end = words.start[which], words.end[which]
         n = end - start + 1
         at = np.cumsum(n) - n
@@ -77,7 +82,12 @@ class Classes:
         inner[:] = True
         inner[at + n - 1] = False
         right[inner] = words.data[flat[inner] + 1]
-        out = summed_rows(self.logp, self.pair_row[left << 8 | right], at, n) + (self.n - self.logp.shape[1])
+        pair = left << 8 | right
+        return summed_rows(self.logp, self.pair_row[pair], at, n), pair, n
+
+    def of(self, words: Words, which: np.ndarray) -> np.ndarray:
+        """Classes of chosen words."""
+        out = self.spelling(words, which)[0] + (self.n - self.logp.shape[1])
         if len(self.head):
             spot = np.minimum(np.searchsorted(self.head, words.hash[which]), len(self.head) - 1)
             own = self.head[spot] == words.hash[which]
@@ -91,10 +101,15 @@ def _pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.array([a << 8 | b for x in flat for a, b in zip(x[:-1], x[1:], strict=True)], np.int64)
 
 
-def fit_classes(top: list[tuple[bytes, int]]) -> Classes:
+def spellings_for(distinct: int) -> int:
+    """The number of spelling classes for so many distinct words."""
+    return min(MOST_SPELLINGS, SPELLINGS + GROWN * max(0, int(np.log2(max(1, distinct) / HELD_WORDS))))
+
+
+def fit_classes(top: list[tuple[bytes, int]], spellings: int = SPELLINGS) -> Classes:
     """Classes from the most frequent words and their counts: a mixture of byte-pair distributions, by EM."""
     head, rest = [w for w, _ in top[:HEAD]], top[HEAD:] or top
-    k = min(SPELLINGS, max(1, len(rest)))
+    k = min(spellings, max(1, len(rest)))
     hashes = Words(pa.array(head, pa.binary())).hash if head else np.zeros(0, np.uint64)
     by = np.argsort(hashes)
     row = np.zeros(1 << 16, np.int64)
@@ -122,31 +137,75 @@ def fit_classes(top: list[tuple[bytes, int]]) -> Classes:
     return Classes(hashes[by], (np.arange(len(head)) + 1)[by], row, logp, 1 + len(head) + k)
 
 
+def _spelled(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes: Classes = held.value
+        k = classes.logp.shape[1]
+        sums = np.zeros(k << 16, np.int64)
+        for batch in batches:
+            words = Words(batch.column(0))
+            if not len(words.hash):
+                continue
+            rest = np.flatnonzero(~np.isin(words.hash, classes.head)) if len(classes.head) else np.arange(len(words.hash))
+            best, pair, n = classes.spelling(words, rest)
+            weight = np.round(np.sqrt(batch.column(1).to_numpy()[words.doc[rest]]) * 1024).astype(np.int64)
+            np.add.at(sums, pair * k + np.repeat(best, n), np.repeat(weight, n))
+        cell = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[cell])], names=["cell", "n"])
+
+    return run
+
+
+def refined(classes: Classes, counts: DataFrame) -> Classes:
+    """The spelling classes fitted anew to the byte pairs of all distinct words, each word in the best class so far."""
+    held = counts.sparkSession.sparkContext.broadcast(classes)
+    found = counts.where(F.col("word") != F.lit(END)).mapInArrow(tidied(_spelled(held)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    held.destroy()
+    if not found.num_rows:
+        return classes
+    k = classes.logp.shape[1]
+    cell, n = found.column("cell").to_numpy(), found.column("n").to_numpy() / 1024
+    known, index = np.unique(cell // k, return_inverse=True)
+    sums = np.zeros((len(known) + 1, k))  # the first is of pairs that no word has
+    sums[index + 1, cell % k] = n
+    row = np.zeros(1 << 16, np.int64)
+    row[known] = np.arange(1, len(known) + 1)
+    logp = np.log((sums + 0.02) / (sums.sum(0) + 0.02 * (len(known) + 1)))
+    return Classes(classes.head, classes.head_class, row, logp.astype(np.float32), classes.n)
+
+
 def train(cells: np.ndarray, counts: np.ndarray, c: int) -> np.ndarray:
     """log10 P(class | two classes before), for all contexts, from trigram counts (cell = (a * c + b) * c + class)."""
     rng = np.random.default_rng(11)
-    a, b, y = cells // (c * c), cells // c % c, cells % c
+    y = cells % c
     unigram = np.bincount(y, weights=counts, minlength=c) + 0.5
     noise = unigram / unigram.sum()
     log_noise = np.log(noise)
     first, second = rng.normal(0, 0.1, (c, SIZE)), rng.normal(0, 0.1, (c, SIZE))
     out, bias = rng.normal(0, 0.1, (c, SIZE)), log_noise.copy()
     if len(cells):
-        heap = np.cumsum(counts)
-        draw = np.cumsum(noise)
+        context, row = np.unique(cells // c, return_inverse=True)
+        a, b = context // c, context % c
+        times = np.bincount(row, weights=counts, minlength=len(context))
+        by = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[by], np.arange(len(context) + 1))
+        scale = len(context) / counts.sum()
         seen = {k: np.full(v.shape, 1e-6) for k, v in (("first", first), ("second", second), ("out", out), ("bias", bias))}
-        rows, one = np.arange(BATCH), np.eye(c)
-        for _ in range(STEPS):
-            i = np.searchsorted(heap, rng.random(BATCH) * heap[-1], side="right")
-            z = np.minimum(np.searchsorted(draw, rng.random((BATCH, NOISE))), c - 1)
-            u = np.concatenate([y[i][:, None], z], 1)
+        one = np.eye(c)
+        blocks = -(-len(context) // BATCH)
+        for step in range(-(-max(STEPS, EPOCHS * blocks) // blocks) * blocks):
+            if step % blocks == 0:
+                order = rng.permutation(len(context))
+            i = order[step % blocks :: blocks]
+            own = by[ranges(ends[i], ends[i + 1] - ends[i])]
+            n = np.zeros((len(i), c))
+            n[np.repeat(np.arange(len(i)), ends[i + 1] - ends[i]), y[own]] = counts[own] * scale
             ctx = first[a[i]] + second[b[i]]
-            score = np.take_along_axis(ctx @ out.T + bias, u, 1)
-            g = -1 / (1 + np.exp(-(score - log_noise[u] - np.log(NOISE))))
-            g[:, 0] += 1  # of the log-likelihood that the first is data and the others noise
-            by_class = np.bincount((rows[:, None] * c + u).ravel(), weights=g.ravel(), minlength=BATCH * c).reshape(BATCH, c)
-            grad_ctx = by_class @ out
-            for name, x, total in (("out", out, by_class.T @ ctx), ("bias", bias, by_class.sum(0)), ("first", first, one[a[i]].T @ grad_ctx), ("second", second, one[b[i]].T @ grad_ctx)):
+            noisy = 1 / (1 + np.exp(ctx @ out.T + bias - log_noise - np.log(NOISE)))
+            # of the log-likelihood that a context's tokens are data and NOISE for each are noise, all of them expected
+            g = n * noisy - NOISE * scale * times[i][:, None] * noise * (1 - noisy)
+            grad_ctx = g @ out
+            for name, x, total in (("out", out, g.T @ ctx), ("bias", bias, g.sum(0)), ("first", first, one[a[i]].T @ grad_ctx), ("second", second, one[b[i]].T @ grad_ctx)):
                 seen[name] += total**2
                 x += 0.3 * total / np.sqrt(seen[name])
     table = np.empty((c * c, c), np.float32)
@@ -279,7 +338,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(HELD_WORDS).toArrow()
     spelled, count = top.column("word").combine_chunks(), top.column("n").to_numpy()
     end_count = (counts.where(F.col("word") == F.lit(END)).first() or (0, 0))[1]
-    classes = fit_classes(list(zip(spelled.slice(0, FIT_WORDS).to_pylist(), count[:FIT_WORDS].tolist(), strict=True)))
+    classes = fit_classes(list(zip(spelled.slice(0, FIT_WORDS).to_pylist(), count[:FIT_WORDS].tolist(), strict=True)), spellings_for(int(v)))
+    for _ in range(PASSES):
+        classes = refined(classes, counts)
     held_classes = spark.sparkContext.broadcast(classes)
     cells = training.mapInArrow(tidied(_trigrams(held_classes)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     sizes = counts.where(F.col("word") != F.lit(END)).mapInArrow(tidied(_class_sizes(held_classes)), "cls bigint, n bigint, v bigint").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()

@@ -175,6 +175,32 @@ def test_spelling_classes():
         assert score[c - 80] >= score.max() - 1e-3 * abs(score.max())
 
 
+def test_training_passes_over_all_cells(monkeypatch):
+    """However few the least steps are, every counted context is learnt from."""
+    import numpy as np
+
+    monkeypatch.setattr(language_model, "STEPS", 1)
+    c = 60
+    a, b = np.divmod(np.arange(c * c), c)
+    table = language_model.train((a * c + b) * c + b, np.full(c * c, 5.0), c)
+    assert (table[a * c + b, b] > -0.3).all()
+
+
+def test_spelling_classes_follow_all_words(spark):
+    """Byte pairs of rare words alone shape the classes, and more words make more classes."""
+    common = [(b"a%db" % i, 1000 - i) for i in range(200)]
+    rare = [(b"qz%dzq" % i, 1) for i in range(2000)]
+    classes = language_model.fit_classes(common)
+    pair = ord("q") << 8 | ord("z")
+    assert not classes.pair_row[pair]
+    counts = spark.createDataFrame([(bytearray(w), n) for w, n in [*common, *rare, (b"\n", 9)]], "word binary, n bigint")
+    after = language_model.refined(classes, counts)
+    assert after.pair_row[pair] and after.logp.shape[1] == classes.logp.shape[1]
+    assert after.logp[after.pair_row[pair]].max() > after.logp[0].max() + 1
+    sizes = [language_model.spellings_for(v) for v in (0, 1 << 17, 1 << 20, 1 << 27)]
+    assert sizes == [48, 48, 60, 88]
+
+
 def test_class_probabilities_are_normalised():
     import numpy as np
 
