@@ -306,7 +306,7 @@ def quote_replay(t):
 
 
 @query(
-    "E05 S14",
+    "E05",
     """WITH p AS (SELECT item_id, lower(b.text) AS qt, lower(d.text) AS t FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE b.text <> ''),
     o AS (SELECT item_id, sum(len(list_filter(generate_series(1, length(t) - length(qt) + 1), lambda i: substr(t, i, length(qt)) = qt))) AS n FROM p GROUP BY item_id)
     SELECT b.item_id, CASE WHEN coalesce(n, 0) = 0 THEN 'span_not_found' WHEN n = 1 THEN 'extraction-match' ELSE 'ambiguous_span' END AS status, coalesce(n, 0)::BIGINT AS candidate_count FROM benchmark b LEFT JOIN o ON b.item_id = o.item_id""",
@@ -343,7 +343,7 @@ _PATH = r"regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
 @query(
-    "S09",
+    "",  # a part of S09: links of one page
     rf"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages)
     SELECT page_id, href FROM l WHERE href LIKE '/%' AND href <> '/' AND NOT {has("href", I.NOT_ARTICLES)} AND NOT {has("href", I.NOT_PAGES)}""",
 )

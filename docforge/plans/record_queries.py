@@ -167,7 +167,7 @@ def _two(t):
     return d.where("n_chars > 200").select(F.col("doc_id").alias("id"), F.col("lang").alias("v")), d.where("n_chars < 4000").select(F.col("doc_id").alias("id"), guess.alias("v"))
 
 
-@query("J07 U02 A15", f"WITH {_TWO} SELECT count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) AS n_both, count(*) FILTER (b.v IS NULL) AS a_only, count(*) FILTER (a.v IS NULL) AS b_only, count(*) FILTER (a.v = b.v) AS n_agree FROM a FULL JOIN b ON a.id = b.id")
+@query("J07 U02", f"WITH {_TWO} SELECT count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) AS n_both, count(*) FILTER (b.v IS NULL) AS a_only, count(*) FILTER (a.v IS NULL) AS b_only, count(*) FILTER (a.v = b.v) AS n_agree FROM a FULL JOIN b ON a.id = b.id")
 def oracle_audit(t):
     return score.presence_split(*_two(t), "id", "v")
 
@@ -399,7 +399,7 @@ def manifest_checks(t):
     return t("part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_type").alias("n_types"), (F.countDistinct("p_type") > 1).alias("leaks"), (F.count(F.lit(1)) != F.countDistinct("p_partkey")).alias("repeats"))
 
 
-@query("A14 W16 H15", "WITH m AS (SELECT event_id, user_id, value, median(value) OVER (PARTITION BY user_id) AS mid FROM events) SELECT event_id, CASE WHEN value / mid < 0.93 THEN 'small' WHEN value / mid > 1.15 THEN 'large' ELSE 'medium' END AS size FROM m WHERE mid <> 0")
+@query("A14 H15", "WITH m AS (SELECT event_id, user_id, value, median(value) OVER (PARTITION BY user_id) AS mid FROM events) SELECT event_id, CASE WHEN value / mid < 0.93 THEN 'small' WHEN value / mid > 1.15 THEN 'large' ELSE 'medium' END AS size FROM m WHERE mid <> 0")
 def font_sizes(t):
     mid = t("events").groupBy("user_id").agg(F.median("value").alias("mid"))
     r = F.col("value") / F.col("mid")

@@ -62,7 +62,7 @@ def field_profile(t):
     return records.evaluated_fields(t("part").select(F.col("p_partkey").alias("record_id"), kind.alias("type"))).select("record_id", "type", "field")
 
 
-@query("F13 J20", f"WITH d(type, field) AS (VALUES {_VALUES}), e AS (SELECT p_partkey AS record_id, {_KIND} AS type, p_size FROM part) SELECT e.record_id, count(*) AS n_empty FROM e JOIN d ON d.type = e.type WHERE NOT (d.field = 'title' OR (d.field = 'publisher' AND p_size % 2 = 0) OR (d.field = 'author' AND p_size % 3 = 0)) GROUP BY e.record_id")
+@query("F13", f"WITH d(type, field) AS (VALUES {_VALUES}), e AS (SELECT p_partkey AS record_id, {_KIND} AS type, p_size FROM part) SELECT e.record_id, count(*) AS n_empty FROM e JOIN d ON d.type = e.type WHERE NOT (d.field = 'title' OR (d.field = 'publisher' AND p_size % 2 = 0) OR (d.field = 'author' AND p_size % 3 = 0)) GROUP BY e.record_id")
 def empty_fields(t):
     n = F.col("p_size") % 5
     kind = F.when(n == 0, "article-journal").when(n == 1, "webpage").when(n == 2, "book").when(n == 3, "chapter").otherwise("interview")
@@ -206,14 +206,14 @@ def ocr_language(t):
     return t("documents").select("doc_id", code.alias("code"))
 
 
-@query("H12 G05", "SELECT p_partkey, p_size::BIGINT AS first, (p_size + 4)::BIGINT AS last FROM part")
+@query("H12", "SELECT p_partkey, p_size::BIGINT AS first, (p_size + 4)::BIGINT AS last FROM part")
 def label_bounds(t):
     label = F.concat(F.lit("pp. "), F.col("p_size"), F.lit("–"), F.col("p_size") + 4)
     found = F.regexp_extract_all(label, F.lit(r"\d+"), F.lit(0))
     return t("part").select("p_partkey", F.get(found, F.lit(0)).cast("long").alias("first"), F.element_at(found, -1).cast("long").alias("last"))
 
 
-@query("H25 A21", "WITH c AS (SELECT user_id, event_type, count(*) AS n, min(value) AS v FROM events GROUP BY ALL) SELECT user_id, coalesce(max(CASE WHEN event_type = 'view' AND n >= 2 THEN v END), max(CASE WHEN event_type = 'click' AND n >= 2 THEN v END), max(CASE WHEN event_type = 'error' THEN v END)) AS chosen FROM c GROUP BY user_id")
+@query("H25", "WITH c AS (SELECT user_id, event_type, count(*) AS n, min(value) AS v FROM events GROUP BY ALL) SELECT user_id, coalesce(max(CASE WHEN event_type = 'view' AND n >= 2 THEN v END), max(CASE WHEN event_type = 'click' AND n >= 2 THEN v END), max(CASE WHEN event_type = 'error' THEN v END)) AS chosen FROM c GROUP BY user_id")
 def preferred_blocks(t):
     c = t("events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("v"))
     of = lambda k, least: F.max(F.when((F.col("event_type") == k) & (F.col("n") >= least), F.col("v")))

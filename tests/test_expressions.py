@@ -64,6 +64,20 @@ def test_urls(spark):
     assert one(spark, list(cases), I.resource_type) == list(cases.values())
 
 
+def test_only_public_urls_are_routed(spark):
+    bad = ["http://10.0.0.1/a", "http://192.168.1.9/a.pdf", "https://169.254.169.254/x", "http://[::1]/x", "https://[fd00::1]/x", "http://user:pw@a.org/x", "http://@a.org/x", "http://localhost.localdomain/x", "http://LOCALHOST./x", "http://0.0.0.0/x", "http://[::1/x"]
+    good = ["http://8.8.8.8/x", "https://[2606:4700::1]/x", "https://10.example.org/x"]
+    assert one(spark, bad + good, I.resource_type) == ["unsupported"] * len(bad) + ["url_article"] * len(good)
+
+
+def test_operators_that_no_query_does_are_not_claimed():
+    from docforge.plans import document_queries, record_queries, rule_queries  # noqa: F401
+    from docforge.plans.registry import QUERIES
+
+    claimed = {o for q in QUERIES.values() for o in q.operators}
+    assert not claimed & {"G05", "J20", "A21", "S14", "A15", "W16", "S09"}
+
+
 def test_times(spark):
     df = spark.createDataFrame([(59.9,), (61.0,), (3661.0,)], "c double")
     assert [r[0] for r in df.select(T.timestamp_label(F.col("c"))).collect()] == ["00:59", "01:01", "01:01:01"]
