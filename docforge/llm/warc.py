@@ -3,13 +3,15 @@
 Records are dealt to shards by ranges of their id (exact byte counts of small id ranges give the
 bounds, so the same table always gives the same files), sorted, and written as one gzip member each.
 A file is rolled at a compressed size, written under a temporary name and renamed; a shard that runs
-twice writes the same bytes. A manifest lists the files that make up the archive.
+twice writes the same bytes. A manifest in the archive's folder, renamed into place last, lists the files
+that make it up; only these are read, and each must have the listed digest and number of records.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -27,6 +29,7 @@ from docforge.plans.tables import bounded_arrow, new_path, written
 SHARD_BYTES = 24 << 20
 ROLL_BYTES = 8 << 20
 RANGES = 4096
+MANIFEST = "manifest.jsonl"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -114,7 +117,12 @@ def _writer(root: str, roll_bytes: int, date: str):
                 out.write(data)
             try:
                 store.move(temporary, f"{base}/{name}")
-            except OSError:  # the other run of this shard came first, with the same bytes
+            except OSError:  # the other run of this shard may have come first, with the same bytes
+                if store.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+                    raise
+                with store.open_input_stream(f"{base}/{name}", compression=None) as held:
+                    if hashlib.sha256(held.read()).digest() != hashlib.sha256(data).digest():
+                        raise
                 store.delete_file(temporary)
             rows.append({"file": name, "n_records": n, "n_bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
             part, size, n = [], 0, 0
@@ -168,7 +176,41 @@ def write_warc(pages: DataFrame, root: str | None = None, *, least_bytes: int =
     html = rows.select(shard, "page_id", F.lit(1).alias("kind"), "url", F.col("html").cast("binary").alias("html"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("long").alias("first_id"))
     marks = revisits.select(shard, "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "sha1", "first_id")
     dealt = html.unionByName(marks).repartition(shards, slot(spark, shards)).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
-    return root, written(dealt.mapInArrow(tidied(_writer(root, roll_bytes, date)), "file string, n_records bigint, n_bytes bigint, sha256 string"), "manifest")
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.delete(_path(spark, root, MANIFEST), False)  # until the new one is in place there is no archive
+    manifest = written(dealt.mapInArrow(tidied(_writer(root, roll_bytes, date)), "file string, n_records bigint, n_bytes bigint, sha256 string"), "manifest")
+    _commit(spark, root, manifest)
+    return root, manifest
+
+
+def _path(spark: SparkSession, root: str, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+
+
+def _commit(spark: SparkSession, root: str, manifest: DataFrame) -> None:
+    """The manifest into the archive's folder, by a temporary name."""
+    lines = "".join(json.dumps(r.asDict()) + "\n" for r in manifest.orderBy("file").collect())
+    temporary, target = _path(spark, root, f"_temporary-{MANIFEST}-{uuid.uuid4().hex}"), _path(spark, root, MANIFEST)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = files.create(temporary, True)
+    out.write(bytearray(lines.encode()))
+    out.close()
+    if not files.rename(temporary, target):
+        raise OSError(f"the manifest of {root} could not be renamed")
+
+
+def manifest_of(spark: SparkSession, root: str) -> dict[str, dict]:
+    """The files of an archive by name, as its manifest lists them; an error if the folder has none."""
+    target = _path(spark, root, MANIFEST)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(target):
+        raise FileNotFoundError(f"{root} has no {MANIFEST}: its archive was not finished")
+    stream = files.open(target)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return {r["file"]: r for r in map(json.loads, text.splitlines())}
 
 
 def slot(spark: SparkSession, n: int):
@@ -200,13 +242,16 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(batches: Iterator[pa.RecordBatch], listed: dict[str, dict]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("file", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
     for batch in batches:
         for i in range(len(batch)):
             file = batch.column(0)[i].as_py().rsplit("/", 1)[-1]
-            rows, held = [], 0
-            for data in members(batch.column(1)[i].as_buffer().to_pybytes()):
+            rows, held, n = [], 0, 0
+            content = batch.column(1)[i].as_buffer().to_pybytes()
+            if hashlib.sha256(content).hexdigest() != listed[file]["sha256"]:
+                raise ValueError(f"{file} does not have the digest that the manifest lists")
+            for data in members(content):
                 fields, block = parsed(data)
                 if fields["warc-type"] == "warcinfo":
                     continue
@@ -219,25 +264,33 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"{file}: the payload of {fields['warc-record-id']} does not have its digest")
                 number = lambda k: int(fields[k]) if fields.get(k) else None  # noqa: B023, E731
                 rows.append({"file": file, "page_id": number("x-page-id"), "url": fields["warc-target-uri"], "record_type": fields["warc-type"], "payload_bytes": size, "payload_digest": digest, "refers_to": number("x-refers-to-page-id"), "payload": payload if fields["warc-type"] == "response" else None})
-                held += len(payload)
+                held, n = held + len(payload), n + 1
                 if held >= 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, held = [], 0
+            if n != listed[file]["n_records"]:
+                raise ValueError(f"{file} has {n} records, the manifest lists {listed[file]['n_records']}")
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _reader(batches):
+def _facts(batches: Iterator[pa.RecordBatch], listed: dict[str, dict]) -> Iterator[pa.RecordBatch]:
+    for batch in _reader(batches, listed):
         yield batch.select([n for n in batch.schema.names if n != "payload"])
 
 
 def read_warc(spark: SparkSession, root: str, *, payloads: bool = True) -> DataFrame:
     """The records of an archive: file, page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
 
-    Digests of blocks and payloads are recomputed; a record that differs from its own fails the read.
-    A revisit has no payload. An archive without files has no rows.
+    Exactly the files of the manifest are read; one that is missing, or has another digest or number of
+    records, fails the read. Digests of blocks and payloads are recomputed; a record that differs from its
+    own fails the read. A revisit has no payload. An archive without files has no rows.
     """
     bounded_arrow(spark)
-    schema = "file string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(root).select("path", "content")
-    return files.mapInArrow(tidied(_reader), schema + ", payload binary") if payloads else files.mapInArrow(tidied(_facts), schema)
+    schema = "file string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint" + ", payload binary" * payloads
+    listed = manifest_of(spark, root)
+    if not listed:
+        return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast(listed)
+    files = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{name}" for name in sorted(listed)]).select("path", "content")
+    read = _reader if payloads else _facts
+    return files.mapInArrow(tidied(lambda batches: read(batches, held.value)), schema)

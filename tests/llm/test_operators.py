@@ -388,6 +388,25 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(spark, root).count() == 0
 
 
+def test_warc_is_what_its_manifest_lists(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    root, _ = warc.write_warc(pages, f"file://{tmp_path}/a", roll_bytes=20_000, shard_bytes=60_000)
+    files = sorted((tmp_path / "a").glob("*.warc.gz"))
+    (tmp_path / "a" / "part-999999-0000.warc.gz").write_bytes(files[0].read_bytes())  # a stale file is no part of it
+    assert warc.read_warc(spark, root, payloads=False).count() == pages.count()
+    held = files[1].read_bytes()
+    files[1].write_bytes(files[0].read_bytes())  # whole records, but of another file
+    with pytest.raises(Exception, match="digest that the manifest lists"):
+        warc.read_warc(spark, root).collect()
+    files[1].unlink()
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        warc.read_warc(spark, root).collect()
+    files[1].write_bytes(held)
+    (tmp_path / "a" / warc.MANIFEST).unlink()
+    with pytest.raises(FileNotFoundError):
+        warc.read_warc(spark, root)
+
+
 # all ---------------------------------------------------------------------------------------------
 
 
