@@ -7,7 +7,12 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sf():
+    """The smallest tables."""
+    return "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -1,7 +1,12 @@
 """The driver contract."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import __spark_entry__ as entry
-from conftest import SF
+
+ROOT = Path(entry.__file__).parent
 
 
 def test_contract(spark):
@@ -11,13 +16,15 @@ def test_contract(spark):
 
 
 def test_llm_is_not_imported_elsewhere():
-    from pathlib import Path
-
-    root = Path(entry.__file__).parent / "docforge"
-    for f in root.rglob("*.py"):
+    for f in (ROOT / "docforge").rglob("*.py"):
         if "llm" not in f.parts:
             assert "docforge.llm" not in f.read_text()
 
 
-def test_entry_runs(spark):
-    assert entry.queries()["nodes"](spark, SF).count() > 0
+def test_entry_runs(spark, sf):
+    assert entry.queries()["nodes"](spark, sf).count() > 0
+
+
+def test_every_test_module_is_collected():
+    r = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", str(ROOT / "tests")], cwd=ROOT, capture_output=True, text=True, timeout=120, check=False)
+    assert r.returncode == 0, r.stdout[-2000:]

@@ -2,7 +2,6 @@
 
 import duckdb
 import pytest
-from conftest import SF
 
 from docforge.plans import document_queries, record_queries, rule_queries  # noqa: F401
 from docforge.plans.registry import QUERIES
@@ -12,10 +11,10 @@ KINDS = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean":
 
 
 @pytest.fixture(scope="module")
-def db():
+def db(sf):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return c
 
 
@@ -25,9 +24,9 @@ def rows(data, columns):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, db, name):
+def test_query(spark, db, sf, name):
     query = QUERIES[name]
-    df = query.run(spark, SF)
+    df = query.run(spark, sf)
     got = [tuple(r) for r in df.collect()]
     if query.sql is None:
         assert got
@@ -38,9 +37,9 @@ def test_query(spark, db, name):
     assert rows(got, df.columns) == rows(r.fetchall(), columns)
 
 
-def test_no_python_in_sql_queries(spark):
+def test_no_python_in_sql_queries(spark, sf):
     """Queries that SQL can express run without Python, but for the streaming one."""
     for name, query in QUERIES.items():
         if query.sql and name != "stream_change":
-            plan = query.run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+            plan = query.run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
             assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan, name
