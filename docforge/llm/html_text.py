@@ -1,10 +1,12 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Blocks inside containers that are never article text
-(menus, footers, forms, adverts and the like, by tag or by class) are left out. The first pass decides
-blocks by link density, length and stop-word density; short and middling blocks stay open. The second
-pass gives an open block the label of the nearest decided blocks of its region; a region marked as
-the article is text where nothing is decided.
+A page is cut into blocks at block-level tags, and every block knows the element that holds it. Menus, footers
+and the like go by their tag. A class, id or role that names such a part (or ``hidden``, or a form) is a vote
+against a container, which a container that holds most of the page's text overrules. The first pass decides
+blocks by link density, length and stop-word density, or end punctuation where the language is not one of the
+stop words'. Short blocks stay open; the second pass gives each the label of the nearest decided blocks. Where
+an article is marked up, the rest of the page is no text; elsewhere the smallest element with most of the
+decided text takes its place.
 """
 
 from __future__ import annotations
@@ -32,77 +34,107 @@ STOP_WORDS = frozenset(
     " al algo ante antes con como contra cual cuando del desde donde el ella ellos en entre era eran es esa ese eso esta este esto fue ha hay la las le les lo los más"
     " me mi muy no nos o otra otro para pero por porque que quien se ser si sin sobre su sus también te tiene todo un una uno y ya".split()
 )
-#: Containers that never hold article text.
-LEFT_OUT = frozenset("nav footer aside form head dialog menu select button fieldset figure-nav noscript template".split())
+#: Elements that never hold article text, whatever they hold; a header counts outside of an article only.
+LEFT_OUT = frozenset("nav footer aside head dialog menu select button datalist noscript template svg canvas object audio video".split())
 #: Elements whose content is not markup.
-_RAW = "script|style|textarea|iframe|noscript|template|svg|math|object|canvas|title"
+_RAW = "script|style|textarea|iframe|noscript|template|title|xmp|noembed|noframes"
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main"
-    " menu nav ol p pre section summary table tbody td tfoot th thead tr ul select button label option".split()
+    " menu nav ol p pre section summary table tbody td tfoot th thead tr ul select button label option optgroup".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class, id or role that mark a container as no article text.
+#: Words of a class, id or role that vote against a container.
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar sidebar widget widgets related"
-    " recommended recommendations share sharing social comment comments disqus respond replies footer masthead topbar copyright disclaimer hidden skip tagcloud search"
-    " complementary contentinfo".split()
+    " recommended recommendations teaser teasers share sharing social comment comments commentlist disqus respond replies footer masthead topbar copyright disclaimer"
+    " hidden skip tagcloud search complementary contentinfo".split()
 )
-_WITHIN = frozenset("article main".split())
+#: First words of a class that say how a page is laid out, not what it holds (with-sidebar).
+_LAYOUT = frozenset("with has no without is".split())
+#: Short blocks outside of an article that say one of these are notices.
+_NOTICE = re.compile(
+    r"©|\(c\) ?\d{4}|\b(?:all rights reserved|cookies?|newsletter|subscribe|sign up|log ?in|privacy policy|terms of (?:use|service)|advertisement|sponsored|follow us|share (?:on|this))\b", re.I
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An opening element of these ends an open one of the same set inside the same parent.
+_CELLS = frozenset("li dd dt tr td th option".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_CUT_OFF = re.compile(r"<[a-zA-Z/!][^<]*\Z")
+_SPLIT = re.compile(r"[^a-z0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
-#: Limits of the first pass.
-LINKED, SHORT, LONG, DENSE, SPARSE = 0.5, 70, 200, 0.30, 0.12
+_SENTENCE = re.compile(r"[.!?…。！？؟।](?:[\"'»”’)\]]*)(?:\s|\Z)|[。！？]")
+_WIDE = re.compile(r"[⺀-鿿가-힯豈-﫿]")
+#: Limits of the first pass, and the share of decided text that the element of the article holds.
+LINKED, FEW_LINKS, SHORT, LONG, DENSE, SPARSE, MOST = 0.5, 0.2, 70, 200, 0.30, 0.12, 2 / 3
+
+
+class Node:
+    """An element that holds blocks: its parent's number, and what its tag and attributes say."""
+
+    __slots__ = ("articles", "chars", "marked", "out", "parent", "tag", "titles")
+
+    def __init__(self, parent: int, tag: str, *, out: bool = False, marked: bool = False) -> None:
+        self.parent, self.tag, self.out, self.marked = parent, tag, out, marked
+        self.chars = self.articles = self.titles = 0
 
 
 class Block:
-    __slots__ = ("label", "linked", "region", "text")
+    __slots__ = ("label", "linked", "node", "tag", "text")
 
-    def __init__(self, text: str, linked: int, region: int) -> None:
-        self.text, self.linked, self.region, self.label = text, linked, region, ""
+    def __init__(self, text: str, linked: int, node: int, tag: str) -> None:
+        self.text, self.linked, self.node, self.tag, self.label = text, linked, node, tag, ""
 
 
-def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an opening tag begins a container without article text."""
-    if tag in LEFT_OUT or (tag == "header" and not in_article):
+def _attributes(attrs: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+
+
+def _votes_against(tag: str, attrs: str) -> bool:
+    """Whether an element's own tag or attributes say that it holds no article text."""
+    if tag in ("html", "body", "main") or tag in _VOID:
+        return False
+    if tag == "form":
         return True
-    if not attrs or tag in ("html", "body", "article", "main") or tag in _VOID:
+    if not attrs:
         return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role"):
-            marks = set(re.split(r"[^a-z0-9]+", value))
-            if marks & _MARKS or ("header" in marks and not in_article):
+    found = _attributes(attrs)
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDING.search(found.get("style", "")):
+        return True
+    for name in ("class", "id", "role"):
+        for value in found.get(name, "").lower().split():
+            words = _SPLIT.split(value)
+            if words[0] not in _LAYOUT and (not _MARKS.isdisjoint(words) or words[-1] == "header" and len(words) > 1 and tag != "article" and words[0] in ("site", "page", "top")):
                 return True
-        elif (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs))
+    return False
 
 
-def blocks(page: str) -> tuple[list[Block], set[int]]:
-    """Text blocks outside of left-out containers, and the regions that are marked as the article."""
+def blocks(page: str) -> tuple[list[Block], list[Node]]:
+    """All text blocks in page order, but for those of left-out elements, and the elements that hold them."""
     out: list[Block] = []
-    articles: set[int] = set()
-    stack: list[tuple[str, bool, int]] = []  # tag, left out, region
+    nodes = [Node(-1, "")]
+    stack = [0]
     parts: list[str] = []
-    linked, anchor, regions = 0, False, 0
+    linked, anchor = 0, 0  # an open link is given by the size of the stack at its start
 
     def close() -> None:
-        nonlocal parts, linked, anchor
+        nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not (stack and stack[-1][1]):
-                out.append(Block(text, min(linked, len(text)), stack[-1][2] if stack else 0))
-        parts, linked, anchor = [], 0, False
+            if text:
+                node = stack[-1]
+                out.append(Block(text, min(linked, len(text)), node, nodes[node].tag))
+        parts, linked = [], 0
 
     def text(s: str) -> None:
         nonlocal linked
-        if stack and stack[-1][1]:
+        if nodes[stack[-1]].out:
             return
         if "&" in s:
             s = html_lib.unescape(s)
@@ -110,6 +142,12 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
         if anchor:
             linked += len(" ".join(s.split()))
 
+    def push(tag: str, attrs: str) -> None:
+        above = nodes[stack[-1]]
+        gone = above.out or tag in LEFT_OUT or (tag == "header" and not any(nodes[i].tag == "article" for i in stack))
+        nodes.append(Node(stack[-1], tag, out=gone, marked=_votes_against(tag, attrs)))
+        stack.append(len(nodes) - 1)
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -120,91 +158,169 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
             continue
         end, attrs = (m["end"], m["attrs"]) if m["tag"] else (m["end2"], m["attrs2"])
         if tag == "a":
-            anchor = not end
+            anchor = 0 if end or "href" not in _attributes(attrs) else len(stack)
         elif tag == "br":
             parts.append(" ")
-        elif tag in _BLOCK and tag != "hr":
+        elif tag == "hr":
+            close()
+        elif tag in _BLOCK:
             close()
             if end:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
+                for k in range(len(stack) - 1, 0, -1):
+                    held = nodes[stack[k]].tag
+                    if held == tag:
                         del stack[k:]
                         break
-                    if stack[k][0] in ("body", "html") or (tag in ("p", "li", "dd", "dt") and stack[k][0] in ("div", "article", "section", "main", "ul", "ol", "td")):
+                    if held in ("body", "html") or (tag in ("p", "li", "dd", "dt") and held in ("div", "article", "section", "main", "ul", "ol", "td")):
                         break
-                continue
-            if stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                stack.pop()
-            if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
+            else:
+                if nodes[stack[-1]].tag == "p":  # a block ends an open paragraph
+                    stack.pop()
+                if tag in _CELLS and nodes[stack[-1]].tag == tag:
+                    stack.pop()
+                push(tag, attrs)
+            if anchor > len(stack):  # the element that the link began in is over
+                anchor = 0
+        elif end:
+            if len(stack) > 1 and nodes[stack[-1]].tag == tag:
+                close()
                 stack.pop()
-            out_now, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            in_article = region in articles
-            if tag in _WITHIN and not in_article and not out_now:
-                regions += 1
-                region = regions
-                articles.add(region)
-                in_article = True
-            if tag not in _VOID and not attrs.endswith("/"):
-                stack.append((tag, out_now or _left_out(tag, attrs, in_article), region))
-        elif tag == "hr":
-            close()
-        elif not end and tag not in _VOID and attrs and _left_out(tag, attrs, bool(stack and stack[-1][2] in articles)):
+        elif tag not in _VOID and not attrs.endswith("/") and (tag in LEFT_OUT or (attrs and _votes_against(tag, attrs))):
             close()
-            stack.append((tag, True, stack[-1][2] if stack else 0))
-        elif end and stack and stack[-1][0] == tag:
-            close()
-            stack.pop()
+            push(tag, attrs)
     if at < len(page):
         rest = page[at:]
-        text(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^<]*\Z", rest) else rest)  # a tag that was cut off
+        text(rest[: rest.rfind("<")] if _CUT_OFF.search(rest) else rest)  # a tag that was cut off
     close()
-    return out, articles
+    return out, nodes
+
 
+def _sums(found: list[Block], nodes: list[Node]) -> None:
+    """Unlinked characters, articles and titles that each element holds."""
+    for b in found:
+        nodes[b.node].chars += len(b.text) - b.linked
+    for node in nodes:
+        node.articles, node.titles = int(node.tag == "article" and not node.marked), int(node.tag == "h1")
+    for node in reversed(nodes[1:]):
+        above = nodes[node.parent]
+        above.chars, above.articles, above.titles = above.chars + node.chars, above.articles + node.articles, above.titles + node.titles
+
+
+def _without_marked(found: list[Block], nodes: list[Node]) -> list[Block]:
+    """Blocks outside of marked containers; one with most of the text stays if it has the only article, else all titles, else if little would be left."""
+    within = [False] * len(nodes)
+    for i, node in enumerate(nodes[1:], 1):
+        within[i] = within[node.parent] or node.marked
+    root = nodes[0]
+    free = sum(len(b.text) - b.linked for b in found if not within[b.node])
+    for i, node in enumerate(nodes[1:], 1):
+        above = nodes[node.parent].out
+        if root.articles:
+            whole = node.articles == root.articles == 1
+        else:
+            whole = node.titles == root.titles if root.titles else free < LONG
+        kept = whole and node.chars * 2 > root.chars
+        node.out = above or node.out or (node.marked and not kept)
+    return [b for b in found if not nodes[b.node].out]
+
+
+def _held_by(found: list[Block], nodes: list[Node], chosen: set[int]) -> list[bool]:
+    """For each block whether it stands in a chosen element."""
+    inside = [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        inside[i] = i in chosen or (node.parent >= 0 and inside[node.parent])
+    return [inside[b.node] for b in found]
 
-def _first_pass(b: Block, in_article: bool) -> str:
+
+def _first_pass(b: Block) -> str:
     """text, other, or open."""
-    size = len(b.text)
-    density = b.linked / size
+    density = b.linked / len(b.text)
     if density > LINKED:
         return "other"
-    if size < SHORT:
-        return "open" if density <= 0.2 or in_article else "other"
+    size = len(b.text) + len(_WIDE.findall(b.text))
+    if size < SHORT or density > FEW_LINKS:
+        return "open"
     words = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= DENSE and size >= LONG or (in_article and stops >= SPARSE):
+    if stops >= (SPARSE if size >= LONG else DENSE) or _SENTENCE.search(b.text):
         return "text"
-    return "open" if stops >= SPARSE or in_article else "other"
+    return "open"
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page: its text blocks in page order, joined by an empty line."""
-    found, articles = blocks(page or "")
-    if articles & {b.region for b in found}:  # a marked article holds all of the text
-        found = [b for b in found if b.region in articles]
+def _article(found: list[Block], nodes: list[Node]) -> tuple[list[bool], bool]:
+    """Which blocks stand in the article, and whether it is marked up: else the smallest element with most of the decided text."""
+    total = sum(len(b.text) - b.linked for b in found)
+    for tag in ("article", "main"):
+        chosen = {i for i, node in enumerate(nodes) if node.tag == tag and not node.out}
+        held = _held_by(found, nodes, chosen)
+        chars = sum(len(b.text) - b.linked for b, h in zip(found, held, strict=True) if h)
+        if chars and chars * 2 >= total:
+            return held, True
+    decided = [0] * len(nodes)
     for b in found:
-        b.label = _first_pass(b, b.region in articles)
+        if b.label == "text":
+            decided[b.node] += len(b.text)
+    for i in range(len(nodes) - 1, 0, -1):
+        decided[nodes[i].parent] += decided[i]
+    if not decided[0]:
+        return [True] * len(found), False
+    # children come after their parents: the last element with more than half of the text is the smallest one
+    main = max(i for i, n in enumerate(decided) if n >= MOST * decided[0])
+    holders = {node.parent for node in nodes if node.chars}
+    if main and main not in holders:
+        main = nodes[main].parent  # one long paragraph is not the whole article
+    return _held_by(found, nodes, {main}), False
+
+
+def _second_pass(found: list[Block], held: list[bool], marked_up: bool) -> None:
+    """Open blocks get the label of the nearest decided ones; those apart from the article are no text."""
     n = len(found)
-    before: list[tuple[int, str]] = [(n, "")] * n
-    seen: dict[int, tuple[int, str]] = {}
     for i, b in enumerate(found):
-        before[i] = seen.get(b.region, (-n, ""))
-        if b.label != "open":
-            seen[b.region] = (i, b.label)
-    seen = {}
-    labels = []
+        if b.label == "other":
+            # one link amid text; menus come as lists or in rows
+            alone = (marked_up or b.tag not in _CELLS) and not any(0 <= j < n and found[j].linked > LINKED * len(found[j].text) for j in (i - 1, i + 1))
+            b.label = "open" if alone and held[i] else "other"
+        if not marked_up and len(b.text) < LONG and b.label != "text" and _NOTICE.search(b.text):
+            b.label = "other"
+        if not held[i]:
+            first = next((j for j in range(n) if held[j]), n)
+            b.label = b.label if (b.label == "text" and len(b.text) >= LONG) or (b.tag == "h1" and b.label == "open" and i < first) else "other"
+    before: list[tuple[int, str]] = []
+    last = (-n, "")
+    for i, b in enumerate(found):
+        before.append(last)
+        if b.label != "open" and held[i]:
+            last = (i, b.label)
+    last = (3 * n, "")
     for i in range(n - 1, -1, -1):
         b = found[i]
-        after = seen.get(b.region, (3 * n, ""))
         if b.label != "open":
-            seen[b.region] = (i, b.label)
-            labels.append(b.label)
+            if held[i]:
+                last = (i, b.label)
             continue
-        (p, left), (q, right) = before[i], after
-        near = left or right if not (left and right) else left if left == right else left if i - p < q - i else right if q - i < i - p else "text"
-        if b.region in articles:
-            near = "other" if left == right == "other" and b.linked else "text"
-        labels.append(near or "other")
-    return "\n\n".join(b.text for b, label in zip(found, reversed(labels), strict=True) if label == "text")
+        (p, left), (q, right) = before[i], last
+        if b.tag in _HEADINGS and q == i + 1:  # a heading belongs to what it heads
+            b.label = right
+        elif not left or not right or left == right:
+            b.label = left or right or "text"
+        else:
+            b.label = left if i - p < q - i else right if q - i < i - p else "text"
+        if marked_up and b.label == "other" and not b.linked and not left == right == "other":
+            b.label = "text"
+
+
+def main_text(page: str | None) -> str:
+    """The article of a page: its text blocks in page order, joined by an empty line."""
+    found, nodes = blocks(page or "")
+    _sums(found, nodes)
+    found = _without_marked(found, nodes)
+    for b in found:
+        b.label = _first_pass(b)
+    held, marked_up = _article(found, nodes)
+    if marked_up:  # it holds all of the text
+        found, held = [b for b, h in zip(found, held, strict=True) if h], [True] * sum(held)
+    _second_pass(found, held, marked_up)
+    return "\n\n".join(b.text for b in found if b.label == "text")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
