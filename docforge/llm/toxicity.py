@@ -1,32 +1,52 @@
 """Toxicity by weak supervision.
 
-Patterns (words and word beginnings) that set labelled toxic texts apart are mined from a bounded
-sample of labelled training rows. They, and rules on how many of them a text holds and how densely,
-are voters. A generative label model estimates for each voter how it votes on toxic and other texts,
-and the correlations among voters, by EM; correlated voters share their weight. A linear classifier is
-trained on the posterior labels, and scores every whole text.
+Voters are entries of a fixed lexicon, words and word beginnings that labelled training rows set apart
+(mined from a bounded sample of them), patterns of style (direct address, masked words, shouting), and
+rules on how many entries a text holds and how densely. A generative label model, fitted by EM, estimates
+for each voter how it votes on toxic and on other texts. Voters that go together beyond what the label
+explains form cliques, of which the model has the joint distribution of votes. The labels only mine the lexicon and
+start the EM; the posterior is that of the votes. A linear classifier is trained on the posterior and
+scores every whole text.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm.common import as_bytes, batches_of, fold, id_text, ranges, tidied, Words
-from docforge.plans.tables import bounded_arrow, written
+from docforge.plans.tables import bounded_arrow, release, written
 
-#: Labelled rows that are used at most, candidate patterns, and patterns that are kept.
-SAMPLE_ROWS, CANDIDATES, PATTERNS = 20_000, 4_096, 64
+#: Labelled rows that are used at most.
+SAMPLE_ROWS = 20_000
 BEGINNINGS = range(4, 9)
-#: Least log-likelihood ratio of a pattern: a chance of about 1e-6, as many patterns are tried.
-LEAST_GAIN = 24.0
+#: Least log-likelihood ratio of a mined pattern (a chance of about 1e-6, as many are tried), and how much more frequent it is in toxic texts.
+LEAST_GAIN, LEAST_RATIO = 24.0, 4.0
+#: Voters whose residual correlation is greater are modelled jointly, this many at most in one clique.
+CORRELATED, CLIQUE = 0.15, 4
+# Insults and abuse in English, German, French and Spanish that are hardly anything else.
+LEXICON = (
+    "idiot idiots moron morons imbecile stupid dumbass scum scumbag loser losers pathetic worthless disgusting retard retarded bastard bastards bitch asshole assholes jerk creep pervert"
+    " vermin subhuman fuck fucking fucker motherfucker shit bullshit cunt whore slut douchebag twat wanker"
+    " arschloch hurensohn wichser fotze schlampe vollidiot dummkopf abschaum missgeburt drecksau scheisse scheiße untermensch schwachkopf"
+    " connard connards connasse salaud salope enculé pute putain abruti crétin débile ordure imbécile bâtard"
+    " gilipollas pendejo pendeja cabrón cabrones puta mierda imbécil estúpido estúpida hijueputa malparido subnormal escoria"
+).split()
+#: Patterns of style over a text's bytes.
+STYLE = (
+    re.compile(rb"\b(?:you(?:'re| are)|du bist|tu es|eres) (?:an? |such an? |so |ein |eine |une? |una )?[a-z]+", re.I),
+    re.compile(rb"\b(?:shut up|go to hell|get lost|drop dead|kill yourself|halt die klappe|ta gueule|vete a la mierda)\b", re.I),
+    re.compile(rb"\b[A-Za-z]\*{2,}[A-Za-z]*\b"),
+    re.compile(rb"(?:\b[A-Z]{3,}\b[ ,!]+){3}"),
+    re.compile(rb"!{3,}"),
+)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -36,16 +56,30 @@ def forms(word: bytes) -> list[str]:
 
 
 def patterns_of(form: str) -> list[str]:
-    """A form as a whole (marked by a final blank), and its beginnings."""
+    """A form as a whole (marked by a final blank), and its beginnings of 4 to 8 letters."""
     return [form + " ", *(form[:k] for k in BEGINNINGS if len(form) > k)]
 
 
+def _presence(hits: list[list[int]], place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, entry) pairs, from the entries of each distinct word and the words' places."""
+    size = np.array([len(h) for h in hits], np.int64)
+    flat = np.array([i for h in hits for i in h], np.int64)
+    at = np.cumsum(size) - size
+    pair = np.unique(np.repeat(doc, size[place]) << 32 | flat[ranges(at[place], size[place])]) if len(place) else np.zeros(0, np.int64)
+    return pair >> 32, pair & 0xFFFFFFFF
+
+
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter[str] = Counter()
-    for batch in batches:
-        for text in as_bytes(batch.column(1)).to_pylist():
-            total.update({p for w in set(text.lower().split()) for f in forms(w) for p in patterns_of(f)})
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
+    """For every pattern of a batch the numbers of toxic and of other texts that hold it."""
+    for batch in batches_of(batches, 4 << 20):
+        words = Words(as_bytes(batch.column(1)))
+        _, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
+        index: dict[str, int] = {}
+        hits = [[index.setdefault(p, len(index)) for p in {p for f in forms(w) for p in patterns_of(f)}] for w in words.spelled(first).to_pylist()]
+        doc, entry = _presence(hits, place, words.doc)
+        toxic = batch.column(2).to_numpy(zero_copy_only=False) > 0
+        count = lambda rows: pa.array(np.bincount(entry[rows], minlength=len(index)))  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), count(toxic[doc]), count(~toxic[doc])], names=["pattern", "toxic", "other"])
 
 
 @dataclass
@@ -53,7 +87,6 @@ class Matcher:
     """Patterns by name; a text's matches by its distinct words."""
 
     patterns: list[str]
-    cache: dict[bytes, list[int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.index = {p: i for i, p in enumerate(self.patterns)}
@@ -69,71 +102,83 @@ class Matcher:
         return out
 
     def texts(self, texts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-        """Presence of each pattern in each text, and four counts: words, distinct words, matching words and distinct ones."""
+        """Presence of each pattern in each text; words, distinct words, matching words and distinct ones; and presence of each style."""
         words = Words(texts)
         n = len(texts)
         _, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
         hits = self.words(words.spelled(first).to_pylist())
-        size = np.array([len(set(h)) for h in hits], np.int64)
-        flat = np.array([i for h in hits for i in sorted(set(h))], np.int64)
-        at = np.cumsum(size) - size
+        some = np.flatnonzero(np.array([bool(h) for h in hits], bool)[place]) if len(place) else np.zeros(0, np.int64)
         present = np.zeros((n, len(self.patterns)), bool)
-        some = np.flatnonzero(size[place] > 0) if len(place) else np.zeros(0, np.int64)
-        k = place[some]
-        present[np.repeat(words.doc[some], size[k]), flat[ranges(at[k], size[k])]] = True
-        counts = np.zeros((n, 4))
+        present[_presence(hits, place[some], words.doc[some])] = True
+        counts = np.zeros((n, 4 + len(STYLE)))
         counts[:, 0] = np.bincount(words.doc, minlength=n)
-        pair = np.unique(words.doc << 32 | place)
-        counts[:, 1] = np.bincount(pair >> 32, minlength=n)
+        counts[:, 1] = np.bincount(np.unique(words.doc << 32 | place) >> 32, minlength=n)
         counts[:, 2] = np.bincount(words.doc[some], minlength=n)
-        counts[:, 3] = np.bincount(np.unique(words.doc[some] << 32 | k) >> 32, minlength=n)
+        counts[:, 3] = np.bincount(np.unique(words.doc[some] << 32 | place[some]) >> 32, minlength=n)
+        for i, text in enumerate(texts):
+            raw = text.as_buffer()
+            if raw is not None:
+                counts[i, 4:] = [style.search(raw) is not None for style in STYLE]
         return present, counts
 
 
 def features(present: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The classifier's inputs: patterns, numbers of matches, their densities, and the text's length and variety."""
-    words, distinct, hits, kinds = counts.T
+    """The classifier's inputs: patterns, numbers of matches, their densities, the text's length and variety, and styles."""
+    words, distinct, hits, kinds = counts.T[:4]
     more = [np.log1p(kinds), np.log1p(hits), np.minimum(kinds, 3), np.log1p(1000 * kinds / (words + 20)), np.log1p(1000 * hits / (words + 20)), np.log1p(words), distinct / (words + 1)]
-    return np.column_stack([present.astype(float), *more])
+    return np.column_stack([present.astype(float), *more, counts[:, 4:]])
 
 
 def votes(present: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Voters: 1 toxic, -1 not, 0 no opinion. One per pattern, then rules on numbers and densities."""
-    words, _, _, kinds = counts.T
+    """Voters: 1 toxic, -1 not, 0 no opinion. One per pattern, then rules on numbers and densities, then one per style."""
+    words, _, _, kinds = counts.T[:4]
     dense = 1000 * kinds / (words + 20)
     rules = [
         np.where(kinds >= 2, 1, 0), np.where(kinds >= 3, 1, 0), np.where(kinds >= 5, 1, 0), np.where(dense >= 4, 1, 0), np.where(dense >= 8, 1, 0), np.where(dense >= 16, 1, 0),
         np.where(kinds == 0, -1, 0), np.where((kinds <= 1) & (words >= 100), -1, 0), np.where(dense < 2, -1, 0), np.where((dense < 4) & (words >= 300), -1, 0),
     ]
-    return np.column_stack([present.astype(np.int8), *rules]).astype(np.int8)
-
-
-def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Posterior of each row: a generative model of votes given the hidden label, by EM.
-
-    The given label is one more voter, with rates of its own. Residual correlations of the voters under
-    the current posterior divide the weight of those that say the same thing.
+    return np.column_stack([present.astype(np.int8), *rules, counts[:, 4:].astype(np.int8)]).astype(np.int8)
+
+
+def cliques_of(v: np.ndarray, q: np.ndarray) -> list[list[int]]:
+    """Voters in groups: those whose votes go together under each label, strongest first, up to CLIQUE of them."""
+    mean1, mean0 = (q @ v) / max(q.sum(), 1e-9), ((1 - q) @ v) / max((1 - q).sum(), 1e-9)
+    rest = v - np.outer(q, mean1) - np.outer(1 - q, mean0)
+    norm = np.sqrt((rest**2).sum(0)) + 1e-9
+    r = np.triu(np.abs(rest.T @ rest / np.outer(norm, norm)), 1)
+    of = list(range(v.shape[1]))
+    own = {j: [j] for j in of}
+    a, b = np.nonzero(r > CORRELATED)
+    for i in np.argsort(-r[a, b], kind="stable"):
+        x, y = of[a[i]], of[b[i]]
+        if x != y and len(own[x]) + len(own[y]) <= CLIQUE:
+            own[x] += own.pop(y)
+            for j in own[x]:
+                of[j] = x
+    return [sorted(c) for _, c in sorted(own.items())]
+
+
+def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Posterior of each row under a generative model of votes given a hidden label, by EM from ``start``.
+
+    A voter's rates, and a clique's joint distribution of votes, are estimated under the posterior; a
+    joint distribution is drawn to that of independent voters by the weight of one row. The structure
+    is estimated from the start and again half-way.
     """
-    v = np.column_stack([v, np.where(gold > 0, 1, -1)]).astype(np.int8)
-    q = np.where(gold > 0, 0.95, 0.05)
-    weight = np.ones(v.shape[1])
-    weight[-1] = 1.0
-    for _ in range(rounds):
+    q = np.clip(start.astype(float), 0.05, 0.95)
+    for step in range(rounds):
+        if step in (0, rounds // 2):  # each clique's voters, their distinct votes, and each row's place among these
+            cliques = [(c, *np.unique(v[:, c], axis=0, return_inverse=True)) for c in cliques_of(v, q)]
         prior = (q.sum() + 1) / (len(q) + 2)
         odds = np.full(len(q), np.log(prior / (1 - prior)))
-        for j in range(v.shape[1]):
-            for value in (-1, 0, 1):
-                hit = v[:, j] == value
-                rate = ((q * hit).sum() + 0.5) / (q.sum() + 1.5), (((1 - q) * hit).sum() + 0.5) / ((1 - q).sum() + 1.5)
-                odds[hit] += weight[j] * np.log(rate[0] / rate[1])
+        sides = [(own, {x: (own @ (v == x) + 0.5) / (own.sum() + 1.5) for x in (-1, 0, 1)}) for own in (q, 1 - q)]
+        for who, values, row in cliques:
+            toxic, other = (
+                (np.bincount(row.ravel(), weights=own, minlength=len(values)) + [math.prod(rate[x][j] for x, j in zip(value, who, strict=True)) for value in values]) / (own.sum() + 1)
+                for own, rate in sides
+            )
+            odds += np.log(toxic / other)[row.ravel()]
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        mean1, mean0 = (q @ v) / max(q.sum(), 1e-9), ((1 - q) @ v) / max((1 - q).sum(), 1e-9)
-        rest = v - np.outer(q, mean1) - np.outer(1 - q, mean0)
-        norm = np.sqrt((rest**2).sum(0)) + 1e-9
-        r = np.abs(rest.T @ rest / np.outer(norm, norm))
-        np.fill_diagonal(r, 0)
-        weight = 1 / (1 + np.where(r > 0.15, r, 0).sum(1))
-        weight[-1] = 1.0
     return q
 
 
@@ -169,39 +214,28 @@ def _linear(x: np.ndarray, q: np.ndarray, ridge: float = 2.0) -> np.ndarray:
     return w
 
 
-def _chosen(toxic: Counter[str], other: dict[str, int], n_toxic: int, n_other: int) -> list[str]:
-    """Patterns by their log-likelihood ratio; of a pattern and its beginnings or continuations, the best one."""
+def _gain(k: Column, m: Column, n1: float, n0: float) -> Column:
+    """Log-likelihood ratio of a pattern in k of n1 toxic and m of n0 other texts."""
+    cells = [(k, k + m, n1), (m, k + m, n0), (F.lit(n1) - k, F.lit(n1 + n0) - k - m, n1), (F.lit(n0) - m, F.lit(n1 + n0) - k - m, n0)]
+    parts = [F.when(x > 0, x * F.log(x * F.lit(n1 + n0) / (row * F.lit(column)))).otherwise(F.lit(0.0)) for x, row, column in cells]
+    return F.lit(2.0) * (parts[0] + parts[1] + parts[2] + parts[3])
 
-    def gain(p: str) -> float:
-        k = np.array([[toxic[p], n_toxic - toxic[p]], [other.get(p, 0), n_other - other.get(p, 0)]], float)
-        e = k.sum(1, keepdims=True) * k.sum(0, keepdims=True) / k.sum()
-        return float(2 * (k[k > 0] * np.log(k[k > 0] / e[k > 0])).sum())
 
-    rated = []
-    for p, k in toxic.items():
-        if (k + 0.5) / (n_toxic + 1) > 4 * (other.get(p, 0) + 0.5) / (n_other + 1) and (g := gain(p)) > LEAST_GAIN:
-            rated.append((-g, not p.endswith(" "), -len(p), p))
+def distinct_patterns(rated: list[tuple[str, float]]) -> list[str]:
+    """Patterns by falling gain; of a pattern and its beginnings or continuations, the best one."""
     out: list[str] = []
-    for _, _, _, p in sorted(rated):
+    taken: set[str] = set()
+    beginnings: set[str] = set()
+    for p, _ in sorted(rated, key=lambda x: (-round(x[1], 9), not x[0].endswith(" "), -len(x[0]), x[0])):
         bare = p.rstrip()
-        if not any(bare.startswith(o.rstrip()) or o.rstrip().startswith(bare) for o in out):
-            out.append(p)
-        if len(out) == PATTERNS:
-            break
+        if bare in beginnings or any(bare[:i] in taken for i in range(1, len(bare) + 1)):
+            continue
+        out.append(p)
+        taken.add(bare)
+        beginnings.update(bare[:i] for i in range(1, len(bare) + 1))
     return out
 
 
-def _matches(patterns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matcher(patterns)
-        total = np.zeros(len(patterns), np.int64)
-        for batch in batches_of(batches, 4 << 20):
-            total += m.texts(as_bytes(batch.column(1)))[0].sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(patterns))), pa.array(total)], names=["i", "n"])
-
-    return run
-
-
 def _rows(patterns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(patterns)
@@ -215,28 +249,35 @@ def _rows(patterns: list[str]):
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from labelled rows whose crc32(id as text) mod 5 is not 0, at most ``sample_rows`` of them.
 
-    The rows of least hash of the id are used, which is a random sample; of equal texts, one counts. A doc_id with several labels
-    is toxic if one of them says so; null ids and labels are left out.
+    The rows of least hash of the id are used, which is a random sample (the only bound: every pattern in it is rated). Equal texts
+    count once, as toxic if one of them is; so does a doc_id with several labels. Null ids and labels are left out, null texts are
+    empty. Without labelled rows, or with one class only, the model is constant. Other columns are ignored.
     """
     bounded_arrow(docs.sparkSession)
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id"), 5) != 0)
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = written(id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["text"]), "sample")
-    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_other = sum(n for k, n in sizes.items() if k > 0), sum(n for k, n in sizes.items() if k <= 0)
+    own = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    sample = written(own.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic"), "sample")
+    sizes = {r.toxic: r.n for r in sample.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_other = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_other:
+        release(sample)
         return Model([], *(np.zeros(0),) * 3, constant=(n_toxic + 0.5) / (n_toxic + n_other + 1) if n_toxic else 0.0)
-    support = max(2, n_toxic // 250)
-    mined = sample.where("toxic > 0").mapInArrow(tidied(_mine), "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    toxic = Counter({r.pattern: r.n for r in mined.orderBy(F.desc("n"), "pattern").limit(4 * CANDIDATES).collect()})
-    names = sorted(toxic)
-    held = sample.where("toxic <= 0").mapInArrow(tidied(_matches(names)), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    patterns = _chosen(toxic, {names[r.i]: r.n for r in held}, n_toxic, n_other)
+    mined = sample.mapInArrow(tidied(_mine), "pattern string, toxic bigint, other bigint").groupBy("pattern").agg(F.sum("toxic").cast("double").alias("k"), F.sum("other").cast("double").alias("m"))
+    fixed = sorted({f"{w} " for w in LEXICON})
+    k, m = F.col("k"), F.col("m")
+    apart = (k + 0.5) / (n_toxic + 1) > LEAST_RATIO * (m + 0.5) / (n_other + 1)
+    rated = mined.where(F.col("pattern").isin(fixed) | apart).withColumn("gain", _gain(k, m, float(n_toxic), float(n_other)))
+    found = rated.where(F.col("pattern").isin(fixed) | (F.col("gain") > LEAST_GAIN)).select("pattern", "gain", (k * n_other < m * n_toxic).alias("against")).collect()
+    patterns = distinct_patterns([(r.pattern, r.gain) for r in found if r.gain > LEAST_GAIN and not r.against])
+    against = {r.pattern for r in found if r.against}  # an entry of the lexicon that this corpus uses otherwise
+    patterns += sorted({p for p in fixed if p not in against} - set(patterns))
     got = sample.mapInArrow(tidied(_rows(patterns)), "doc_id bigint, toxic int, present binary, counts binary").toArrow().sort_by("doc_id")
+    release(sample)
     present = np.frombuffer(b"".join(got.column("present").to_pylist()), bool).reshape(got.num_rows, len(patterns))
-    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), float).reshape(got.num_rows, 4)
-    q = label_model(votes(present, counts), got.column("toxic").to_numpy())
+    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), float).reshape(got.num_rows, 4 + len(STYLE))
+    q = label_model(votes(present, counts), got.column("toxic").to_numpy() > 0)
     x = features(present, counts)
     mean, scale = x.mean(0), x.std(0) + 1e-3
     return Model(patterns, mean, scale, _linear((x - mean) / scale, q))
@@ -261,7 +302,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the model does not predict to be toxic."""
+    """The rows of docs, with all their columns, that the model does not predict to be toxic.
+
+    Null and empty texts are judged as empty ones; repeated rows all stay or go; an empty table stays empty.
+    """
     bounded_arrow(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
