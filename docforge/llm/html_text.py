@@ -86,10 +86,10 @@ class Node:
 
 
 class Block:
-    __slots__ = ("label", "linked", "node", "tag", "text")
+    __slots__ = ("label", "linked", "links", "node", "tag", "text")
 
-    def __init__(self, text: str, linked: int, node: int, tag: str) -> None:
-        self.text, self.linked, self.node, self.tag, self.label = text, linked, node, tag, ""
+    def __init__(self, text: str, linked: int, links: int, node: int, tag: str) -> None:
+        self.text, self.linked, self.links, self.node, self.tag, self.label = text, linked, links, node, tag, ""
 
 
 def _attributes(attrs: str) -> dict[str, str]:
@@ -121,16 +121,16 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
     nodes = [Node(-1, "")]
     stack = [0]
     parts: list[str] = []
-    linked, anchor = 0, 0  # an open link is given by the size of the stack at its start
+    linked, links, anchor = 0, 0, 0  # an open link is given by the size of the stack at its start
 
     def close() -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 node = stack[-1]
-                out.append(Block(text, min(linked, len(text)), node, nodes[node].tag))
-        parts, linked = [], 0
+                out.append(Block(text, min(linked, len(text)), links, node, nodes[node].tag))
+        parts, linked, links = [], 0, 0
 
     def text(s: str) -> None:
         nonlocal linked
@@ -159,6 +159,7 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
         end, attrs = (m["end"], m["attrs"]) if m["tag"] else (m["end2"], m["attrs2"])
         if tag == "a":
             anchor = 0 if end or "href" not in _attributes(attrs) else len(stack)
+            links += anchor > 0
         elif tag == "br":
             parts.append(" ")
         elif tag == "hr":
@@ -278,7 +279,7 @@ def _second_pass(found: list[Block], held: list[bool], marked_up: bool) -> None:
     for i, b in enumerate(found):
         if b.label == "other":
             # one link amid text; menus come as lists or in rows
-            alone = (marked_up or b.tag not in _CELLS) and not any(0 <= j < n and found[j].linked > LINKED * len(found[j].text) for j in (i - 1, i + 1))
+            alone = b.links <= 1 and (marked_up or b.tag not in _CELLS) and not any(0 <= j < n and found[j].linked > LINKED * len(found[j].text) for j in (i - 1, i + 1))
             b.label = "open" if alone and held[i] else "other"
         if not marked_up and len(b.text) < LONG and b.label != "text" and _NOTICE.search(b.text):
             b.label = "other"
