@@ -39,14 +39,11 @@ LEXICON = (
     " connard connards connasse salaud salope enculé pute putain abruti crétin débile ordure imbécile bâtard"
     " gilipollas pendejo pendeja cabrón cabrones puta mierda imbécil estúpido estúpida hijueputa malparido subnormal escoria"
 ).split()
-#: Patterns of style over a text's bytes.
-STYLE = (
-    re.compile(rb"\b(?:you(?:'re| are)|du bist|tu es|eres) (?:an? |such an? |so |ein |eine |une? |una )?[a-z]+", re.I),
-    re.compile(rb"\b(?:shut up|go to hell|get lost|drop dead|kill yourself|halt die klappe|ta gueule|vete a la mierda)\b", re.I),
-    re.compile(rb"\b[A-Za-z]\*{2,}[A-Za-z]*\b"),
-    re.compile(rb"(?:\b[A-Z]{3,}\b[ ,!]+){3}"),
-    re.compile(rb"!{3,}"),
-)
+#: Patterns of style, each over a whole text: one of some phrases in lower case, a masked word, three words in capitals in a row, or a run of marks.
+ADDRESS = tuple(x.encode() for x in ("you are a ", "you are an ", "you are so ", "you are such ", "you're a ", "you're an ", "you're so ", "du bist ein ", "du bist so ", "tu es un ", "tu es une ", "eres un ", "eres una ", "eres tan "))
+DISMISSAL = tuple(x.encode() for x in ("shut up", "go to hell", "get lost", "drop dead", "kill yourself", "halt die klappe", "ta gueule", "vete a la mierda"))
+MASKED = re.compile(rb"[a-z]\*{2,}")
+STYLES = 5
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -82,6 +79,19 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), count(toxic[doc]), count(~toxic[doc])], names=["pattern", "toxic", "other"])
 
 
+def shouted(texts: pa.BinaryArray, words: Words) -> np.ndarray:
+    """Texts with three words in a row that have three capitals at least and no small letter."""
+    if len(words.start) < 3:
+        return np.zeros(0, np.int64)
+    first = int(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset])
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[first : first + len(words.data)]
+    capitals = np.concatenate([[0], np.cumsum((raw >= 65) & (raw <= 90), dtype=np.int32)])
+    small = np.concatenate([[0], np.cumsum((raw >= 97) & (raw <= 122), dtype=np.int32)])
+    loud = (capitals[words.end] - capitals[words.start] >= 3) & (small[words.end] == small[words.start])
+    row = loud[2:] & loud[1:-1] & loud[:-2] & (words.doc[2:] == words.doc[:-2])
+    return np.unique(words.doc[2:][row])
+
+
 @dataclass
 class Matcher:
     """Patterns by name; a text's matches by its distinct words."""
@@ -110,15 +120,15 @@ class Matcher:
         some = np.flatnonzero(np.array([bool(h) for h in hits], bool)[place]) if len(place) else np.zeros(0, np.int64)
         present = np.zeros((n, len(self.patterns)), bool)
         present[_presence(hits, place[some], words.doc[some])] = True
-        counts = np.zeros((n, 4 + len(STYLE)))
+        counts = np.zeros((n, 4 + STYLES))
         counts[:, 0] = np.bincount(words.doc, minlength=n)
         counts[:, 1] = np.bincount(np.unique(words.doc << 32 | place) >> 32, minlength=n)
         counts[:, 2] = np.bincount(words.doc[some], minlength=n)
         counts[:, 3] = np.bincount(np.unique(words.doc[some] << 32 | place[some]) >> 32, minlength=n)
-        for i, text in enumerate(texts):
-            raw = text.as_buffer()
-            if raw is not None:
-                counts[i, 4:] = [style.search(raw) is not None for style in STYLE]
+        for i, text in enumerate(texts.to_pylist()):
+            low = text.lower() if text else b""
+            counts[i, 4:8] = any(x in low for x in ADDRESS), any(x in low for x in DISMISSAL), b"**" in low and MASKED.search(low) is not None, b"!!!" in low
+        counts[shouted(texts, words), 8] = 1
         return present, counts
 
 
@@ -276,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     got = sample.mapInArrow(tidied(_rows(patterns)), "doc_id bigint, toxic int, present binary, counts binary").toArrow().sort_by("doc_id")
     release(sample)
     present = np.frombuffer(b"".join(got.column("present").to_pylist()), bool).reshape(got.num_rows, len(patterns))
-    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), float).reshape(got.num_rows, 4 + len(STYLE))
+    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), float).reshape(got.num_rows, 4 + STYLES)
     q = label_model(votes(present, counts), got.column("toxic").to_numpy() > 0)
     x = features(present, counts)
     mean, scale = x.mean(0), x.std(0) + 1e-3

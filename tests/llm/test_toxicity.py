@@ -83,7 +83,7 @@ def test_features_and_scores(texts):
     """Presence, counts and scores of real texts, computed word by word."""
     patterns = ["the ", "ther", "scum ", "idiot ", "en "]
     model = toxicity.Model(patterns, np.zeros(17), np.ones(17), np.linspace(-1, 1, 18))
-    some = [*list(texts.values())[:60], "", "You are an IDIOT!!! shut up", "a**hole the thereby THE scum,scum"]
+    some = [*list(texts.values())[:60], "", "You are an IDIOT!!! shut up", "a**hole the thereby THE scum,scum", "NOW YOU GO", "NOW you GO AWAY ALL"]
     present, counts = toxicity.Matcher(patterns).texts(pa.array([t.encode() for t in some], pa.binary()))
     scores = model.scores(pa.array([t.encode() for t in some], pa.binary()))
     for i, text in enumerate(some):
@@ -91,7 +91,9 @@ def test_features_and_scores(texts):
         hits = {w: {p for p in patterns for f in re.findall(r"[^\W\d_]+", w.lower()) if (f == p.strip() if p.endswith(" ") else f.startswith(p) and len(f) > len(p))} for w in set(words)}
         assert [bool(x) for x in present[i]] == [any(p in h for h in hits.values()) for p in patterns]
         assert counts[i, :4].tolist() == [len(words), len(set(words)), sum(bool(hits[w]) for w in words), sum(bool(h) for h in hits.values())]
-        assert counts[i, 4:].tolist() == [s.search(text.encode()) is not None for s in toxicity.STYLE]
+        low = text.encode().lower()
+        caps = [len(re.findall("[A-Z]", w)) >= 3 and not re.search("[a-z]", w) for w in re.findall(r"[^\x20\x09-\x0d]+", text)]
+        assert counts[i, 4:].tolist() == [any(x in low for x in toxicity.ADDRESS), any(x in low for x in toxicity.DISMISSAL), re.search(rb"[a-z]\*\*", low) is not None, b"!!!" in low, any(all(caps[j : j + 3]) for j in range(len(caps) - 2))]
         x = toxicity.features(present[i : i + 1], counts[i : i + 1])[0] - model.mean
         assert len(x) == 17 and math.isclose(scores[i], 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.coef, strict=False)) + model.coef[-1])))), rel_tol=1e-9)
 
