@@ -13,14 +13,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import as_bytes, batches_of, id_text, tidied, Words
-from docforge.plans.tables import bounded_arrow, written
+from docforge.llm.common import as_bytes, batches_of, id_text, ranges, tidied, Words
+from docforge.plans.tables import bounded_arrow, release, written
 
 #: Upper item sizes of the classes (in shingles) and their sketch sizes; larger items have the last.
 CLASSES = ((32, 32), (128, 40), (512, 48), (1 << 62, 64))
@@ -85,17 +86,18 @@ class Items:
         item = self.owner[np.repeat(self.owner_at[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         both, count = np.unique(np.repeat(d, n) << 32 | item, return_counts=True)
         both = both[count >= self.least[both & 0xFFFFFFFF]]
-        out_d, out_i, out_n = [], [], []
-        for x in np.unique(both >> 32):
+        out = []
+        docs, first = np.unique(both >> 32, return_index=True)
+        for x, a, b in zip(docs, first, np.append(first[1:], len(both)), strict=True):
             own = np.unique(shingles[np.searchsorted(doc, x) : np.searchsorted(doc, x, side="right")])
-            for i in both[both >> 32 == x] & 0xFFFFFFFF:
-                want = self.shingles[self.offsets[i] : self.offsets[i + 1]]
-                shared = int((own[np.minimum(np.searchsorted(own, want), len(own) - 1)] == want).sum())
-                if 100 * shared >= self.percent * len(want):
-                    out_d.append(x)
-                    out_i.append(i)
-                    out_n.append(shared)
-        return np.array(out_d, np.int64), np.array(out_i, np.int64), np.array(out_n, np.int64)
+            wanted = both[a:b] & 0xFFFFFFFF
+            size = self.offsets[wanted + 1] - self.offsets[wanted]
+            want = self.shingles[ranges(self.offsets[wanted], size)]
+            held = own[np.minimum(np.searchsorted(own, want), len(own) - 1)] == want
+            shared = np.add.reduceat(held.astype(np.int64), np.cumsum(size) - size)
+            ok = 100 * shared >= self.percent * size
+            out.append((np.full(ok.sum(), x), wanted[ok], shared[ok]))
+        return tuple(np.concatenate(parts) for parts in zip(*out, strict=True)) if out else none
 
 
 def _item_sets(k: int):
@@ -109,8 +111,8 @@ def _item_sets(k: int):
     return run
 
 
-def item_blocks(items: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> Iterator[Items]:
-    """Indexes of the items, block by block: each is of bounded size, whatever their number."""
+def item_blocks(items: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> Iterator[tuple[Items, bool]]:
+    """Indexes of the items, block by block, and whether it is the last one: each is of bounded size, whatever their number."""
     bounded_arrow(items.sparkSession)
     sets = written(id_text(items, id_col, text_col).mapInArrow(tidied(_item_sets(k)), "item_id bigint, shingles binary"), "items")
     total = sets.agg(F.sum(F.octet_length("shingles") + 16)).first()[0] or 0
@@ -120,7 +122,8 @@ def item_blocks(items: DataFrame, k: int, percent: int, miss: float, id_col: str
         rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, bytes(r.shingles)))
         parts = [np.frombuffer(r.shingles, "<u8").astype(np.uint64) for r in rows]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-        yield Items(np.array([r.item_id for r in rows], object), offsets, np.concatenate(parts) if parts else np.zeros(0, np.uint64), percent, miss)
+        yield Items(np.array([r.item_id for r in rows], object), offsets, np.concatenate(parts) if parts else np.zeros(0, np.uint64), percent, miss), b == n - 1
+    release(sets)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = 1e-7, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -132,9 +135,10 @@ def contained_items(docs: DataFrame, items: DataFrame, *, shingle: int = 5, perc
     nothing; null ids stay null; repeated rows (of either table) give repeated pairs; other columns are
     ignored; empty tables give no rows.
     """
-    found = None
     spark = docs.sparkSession
-    for block in item_blocks(items, shingle, percent, miss, item_id, item_text):
+    rows = id_text(docs, id_col, text_col)
+    parts = []
+    for block, last in item_blocks(items, shingle, percent, miss, item_id, item_text):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -147,16 +151,28 @@ def contained_items(docs: DataFrame, items: DataFrame, *, shingle: int = 5, perc
                     names=["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"],
                 )
 
-        part = id_text(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id bigint, item_id bigint, n_item_shingles bigint, n_shared bigint, containment double")
-        found = part if found is None else found.unionByName(part)
-    return found
+        found = rows.mapInArrow(tidied(run), "doc_id bigint, item_id bigint, n_item_shingles bigint, n_shared bigint, containment double")
+        parts.append(found if last and not parts else _pass(found, held, "hits"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pass(found: DataFrame, held, kind: str) -> DataFrame:
+    """A pass's rows, written, and its block given back: blocks are held one at a time."""
+    out = written(found, kind)
+    held.destroy()
+    return out
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = 1e-7, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that contain no item. Cases as in contained_items()."""
+    """The rows of docs, with all their columns, that contain no item.
+
+    Null and empty texts contain nothing and stay; null and empty items are contained in nothing; repeated
+    rows all stay or go; empty tables take nothing away. Words and shingles are those of contained_items().
+    """
     spark = docs.sparkSession
     place = docs.columns.index(text_col)
-    for block in item_blocks(items, shingle, percent, miss, item_id, item_text):
+    mine: list[DataFrame] = []
+    for block, last in item_blocks(items, shingle, percent, miss, item_id, item_text):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -168,5 +184,10 @@ def decontaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, perce
                 keep[d] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(tidied(run), docs.schema)
-    return docs
+        kept = docs.mapInArrow(tidied(run), docs.schema)
+        if last:
+            return kept
+        before, docs = mine, _pass(kept, held, "clean")
+        mine = [docs]
+        release(*before)
+    raise AssertionError("there is always a last block")
