@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are dealt to shards by ranges of their id (exact byte counts of small id ranges give the
-bounds, so the same table always gives the same files), sorted, and written as one gzip member each.
+Records are range-sorted by id and digest. The bounds of the shards are byte quantiles of the keys of least
+hash, so they follow any distribution of ids and are the same for the same table; every record is written
+as one gzip member. A shard is a stream: its size bounds no memory.
 A file is rolled at a compressed size, written under a temporary name and renamed; a shard that runs
 twice writes the same bytes. A manifest in the archive's folder, renamed into place last, lists the files
 that make it up; only these are read, and each must have the listed digest and number of records.
@@ -19,16 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docforge.llm.common import tidied
-from docforge.plans.tables import bounded_arrow, new_path, written
+from docforge.plans.tables import bounded_arrow, new_path, release, written
 
-#: Uncompressed bytes of a shard, compressed bytes at which a file is rolled, and id ranges that are counted.
-SHARD_BYTES = 24 << 20
+#: Uncompressed bytes of a shard, most shards (beyond, they get larger), and compressed bytes at which a file is rolled.
+SHARD_BYTES, MAX_SHARDS = 24 << 20, 1 << 15
 ROLL_BYTES = 8 << 20
-RANGES = 4096
+#: Keys that the shards' bounds are taken from, about; the bytes that a record counts besides its payload; shards that get a partition each.
+BOUND_KEYS, RECORD_BYTES, SLOTS = 1 << 18, 512, 1024
 MANIFEST = "manifest.jsonl"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -81,18 +83,34 @@ def _duplicates(pages: DataFrame, least_bytes: int) -> tuple[DataFrame, DataFram
     return light, sized.select("page_id", "sha1").distinct().join(first, "sha1").where("page_id > first_id")
 
 
-def _bounds(light: DataFrame, shard_bytes: int) -> tuple[int, int, np.ndarray]:
-    """Least id, width of an id range, and the shard of each range."""
-    lo, hi, total = light.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    if lo is None:
-        return 0, 1, np.zeros(1, np.int64)
-    width = max(1, -(-(hi - lo + 1) // RANGES))
-    held = np.zeros((hi - lo) // width + 1)
-    for r in light.where("page_id is not null").groupBy(F.expr(f"(page_id - {lo}L) div {width}L").alias("g")).agg(F.sum("n").alias("n")).collect():
-        held[r.g] = r.n
-    before = np.concatenate([[0], np.cumsum(held)[:-1]])
-    shard = (before // shard_bytes).astype(np.int64)
-    return lo, width, np.unique(shard, return_inverse=True)[1]
+def _key(page_id: Column, sha1: Column) -> Column:
+    """Ids and digests as text that sorts in their order, rows without an id first."""
+    return F.concat(F.when(page_id.isNull(), F.lit("0" * 17)).otherwise(F.concat(F.lit("1"), F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))), F.substring(sha1, 1, 8))
+
+
+def _bounds(light: DataFrame, shard_bytes: int) -> list[str]:
+    """The least keys of all shards but the first."""
+    rows, total = light.agg(F.count(F.lit(1)), F.sum(F.col("n") + RECORD_BYTES)).first()
+    shards = min(MAX_SHARDS, -(-(total or 0) // shard_bytes))
+    if shards < 2:
+        return []
+    share = int(min(1.0, BOUND_KEYS / rows) * (1 << 32))
+    some = light.where(F.pmod(F.xxhash64("page_id", "sha1"), F.lit(1 << 32)) < share)
+    keys = some.groupBy(_key(F.col("page_id"), F.col("sha1")).alias("key")).agg(F.sum(F.col("n") + RECORD_BYTES).alias("n")).toArrow().sort_by("key")
+    if not keys.num_rows:
+        return []
+    before = np.cumsum(keys.column("n").to_numpy()) - keys.column("n").to_numpy()
+    own = before * shards // max(1, int(keys.column("n").to_numpy().sum()))
+    return [keys.column("key")[int(i)].as_py() for i in np.flatnonzero(own[1:] != own[:-1]) + 1]
+
+
+def _shard(key: Column, bounds: list[str]) -> Column:
+    """The number of bounds up to a key, by binary search in a literal array."""
+    if not bounds:
+        return F.lit(0)
+    listed, n = F.split(F.lit(",".join(bounds)), ","), len(bounds)
+    steps = F.array(*(F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= n) & (F.get(listed, low + step - 1) <= key), low + step).otherwise(low))
 
 
 def _writer(root: str, roll_bytes: int, date: str):
@@ -170,16 +188,18 @@ def write_warc(pages: DataFrame, root: str | None = None, *, least_bytes: int =
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(path)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     light, revisits = _duplicates(rows, least_bytes)
-    lo, width, shard_of = _bounds(light, shard_bytes)
-    shards = int(shard_of.max()) + 1
-    shard = F.coalesce(F.expr(f"get(array({','.join(map(str, shard_of.tolist()))}), cast((page_id - {lo}L) div {width}L as int))"), F.lit(0)).alias("shard")
-    html = rows.select(shard, "page_id", F.lit(1).alias("kind"), "url", F.col("html").cast("binary").alias("html"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("long").alias("first_id"))
-    marks = revisits.select(shard, "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "sha1", "first_id")
-    dealt = html.unionByName(marks).repartition(shards, slot(spark, shards)).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    bounds = _bounds(light, shard_bytes)
+    shard = lambda sha1: _shard(_key(F.col("page_id"), sha1), bounds).alias("shard")
+    html = rows.select(shard(F.sha1(F.col("html").cast("binary"))), "page_id", F.lit(1).alias("kind"), "url", F.col("html").cast("binary").alias("html"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("long").alias("first_id"))
+    marks = revisits.select(shard(F.col("sha1")), "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "sha1", "first_id")
+    shards = len(bounds) + 1
+    by = slot(spark, shards) if shards <= SLOTS else F.col("shard")
+    dealt = html.unionByName(marks).repartition(shards, by).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     files.delete(_path(spark, root, MANIFEST), False)  # until the new one is in place there is no archive
     manifest = written(dealt.mapInArrow(tidied(_writer(root, roll_bytes, date)), "file string, n_records bigint, n_bytes bigint, sha256 string"), "manifest")
     _commit(spark, root, manifest)
+    release(light)
     return root, manifest
 
 
