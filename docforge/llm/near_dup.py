@@ -277,10 +277,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, mis
     some = all_docs.where("n > 0 and doc_id is not null")
     classes = written(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    bucket = Window.partitionBy("band")
     banded = reps.select("doc_id", "n", F.explode("bands").alias("band"))
-    first = F.min(F.struct("doc_id", "n")).over(bucket)
-    members = written(banded.withColumn("first", first).withColumn("k", F.count(F.lit(1)).over(bucket)).where("k > 1").select("band", "doc_id", "n", F.col("first.doc_id").alias("leader"), F.col("first.n").alias("leader_n")), "members")
+    # combined before the bands meet, and joined back: a band that very many texts share is one row here and may be split there
+    buckets = banded.groupBy("band").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", F.col("first.doc_id").alias("leader"), F.col("first.n").alias("leader_n"))
+    members = written(banded.join(buckets, "band").select("band", "doc_id", "n", "leader", "leader_n"), "members")
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     candidates = members.select("doc_id").distinct()
     features = written(docs.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(tidied(_features(shingle)), "doc_id bigint, sig binary, bands binary, shingles binary"), "features")
@@ -297,15 +297,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, mis
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = 1e-9) -> DataFrame:
+def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of which each near-duplicate group keeps one.
 
-    Rows that repeat both the doc_id and the text of a kept document are copies, and one of them stays;
-    rows without a doc_id stay. Cases otherwise as in near_duplicates().
+    Rows that repeat both the id and the text of a kept document are copies, and one of them stays;
+    rows without an id stay. Cases otherwise as in near_duplicates().
     """
-    kept = near_duplicates(docs, shingle=shingle, percent=percent, miss=miss).where("kept and doc_id is not null").select("doc_id").distinct()
-    flag, text, rank = "__keep_flag", "__keep_text", "__keep_rank"
-    own = docs.where("doc_id is not null").join(kept.withColumn(flag, F.lit(1)).hint("shuffle_hash"), "doc_id", "left_semi")
-    own = own.withColumn(text, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    first = own.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", text).orderBy("doc_id"))).where(F.col(rank) == 1)
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, shingle=shingle, percent=percent, miss=miss, id_col=id_col, text_col=text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    text, rank = "__keep_text", "__keep_rank"
+    known = F.col(id_col).isNotNull()
+    own = docs.where(known).join(kept.hint("shuffle_hash"), id_col, "left_semi").withColumn(text, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    first = own.withColumn(rank, F.row_number().over(Window.partitionBy(id_col, text).orderBy(id_col))).where(F.col(rank) == 1)
+    return first.select(*docs.columns).unionByName(docs.where(~known))
