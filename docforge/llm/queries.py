@@ -32,7 +32,7 @@ def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docforge.llm import substring_dedup
 
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("kept")
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,28 +15,40 @@ buckets:
    by byte, and the class has the smallest document id;
 5. chunks mark the bytes of windows whose class has a smaller id than the document.
 
-The documents are shuffled once (the exchange is reused by all three chunk steps).
+The documents are shuffled once (the exchange is reused by all three chunk steps). Chunks and buckets
+exchange arrays of plain numbers; a pair of them without a common anchor exchanges nothing, so rows never outnumber anchors.
+Segments are told apart by 64-bit identities, which are checked byte by byte wherever two of them are taken for one.
+An anchor's different segments meet in one task, where they are sorted in parts of bounded size: equal windows have equal hashes and so are in the same part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import as_bytes, blocks_of, mixed, packed, POWERS, prefix_hashes, ranges, tidied_group, unpacked
+from docforge.llm.common import as_bytes, blocks_of, mixed, POWERS, prefix_hashes, ranges, span_hashes, tidied_group
 from docforge.plans.tables import bounded_arrow
 
 WINDOW, K = 50, 25
 W = WINDOW - K + 1
 #: Bytes of text of a chunk of documents.
 CHUNK_BYTES = 6 << 20
-#: Segments that a bucket sorts at once (a whole anchor group at least).
-SORTED_SEGMENTS = 30_000
+#: Segments that a bucket sorts at once, and windows of a part of a larger anchor group.
+SORTED_SEGMENTS, SORTED_WINDOWS = 30_000, 200_000
+#: What chunks and buckets exchange: the arrays of a blob and their types.
+HASHES = (("h", "<u4"), ("many", "u1"))
+SHARED = (("h", "<u4"),)
+SEGMENTS = (("h", "<u4"), ("sid", "<u8"), ("left", "u1"), ("size", "u1"), ("least", "<i8"), ("many", "u1"), ("text", "u1"))
+RUNS = (("h", "<u4"), ("sid", "<u8"), ("runs", "u1"), ("n", "u1"), ("least", "<i8"))
+#: Blobs of more bytes are compressed.
+PLAIN_BYTES = 256
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -92,6 +104,39 @@ def _texts(table: pa.Table, only_known: bool = True) -> tuple[np.ndarray, np.nda
     return ids.fill_null(-(1 << 63)).to_numpy(), data, at - at[0]
 
 
+def packed(fields: tuple[tuple[str, str], ...], **arrays: np.ndarray) -> bytes:
+    """Arrays of known types as bytes: their lengths, then each one's bytes by planes."""
+    own = [np.ascontiguousarray(arrays[name].astype(kind, copy=False)) for name, kind in fields]
+    planes = [x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes() for x in own]
+    raw = np.array([len(x) for x in own], "<u4").tobytes() + b"".join(planes)
+    return b"\0" + raw if len(raw) <= PLAIN_BYTES else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpacked(fields: tuple[tuple[str, str], ...], value) -> dict[str, np.ndarray]:
+    view = memoryview(value)
+    raw = view[1:] if view[0] == 0 else zstandard.ZstdDecompressor().decompress(view[1:])
+    out, at = {}, 4 * len(fields)
+    for (name, kind), n in zip(fields, np.frombuffer(raw, "<u4", len(fields)).tolist(), strict=True):
+        wide = np.dtype(kind).itemsize
+        own = np.frombuffer(raw, np.uint8, n * wide, at)
+        out[name] = np.ascontiguousarray(own.reshape(wide, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+        at += n * wide
+    return out
+
+
+def checked(data: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> None:
+    """Raise unless segment at[i] has the same bytes as segment at[i] - 1 (places in start and size)."""
+    if not np.array_equal(size[at], size[at - 1]):
+        raise RuntimeError(COLLISION)
+    for a in range(0, len(at), 1 << 15):
+        k = at[a : a + (1 << 15)]
+        if not np.array_equal(data[ranges(start[k], size[k])], data[ranges(start[k - 1], size[k])]):
+            raise RuntimeError(COLLISION)
+
+
+COLLISION = "two segments with one identity differ: choose another base of the prefix hashes"
+
+
 def _one(table: pa.Table, name: str):
     return table.column(name)[0].as_py()
 
@@ -112,7 +157,7 @@ def _send_hashes(buckets: int):
         _, data, at = _texts(table)
         code, count = np.unique(Anchors(data, at, buckets).code, return_counts=True)
         chunk = _one(table, "__chunk")
-        rows = [(b, chunk, packed(h=np.diff((code[s] & np.uint64(0xFFFFFFFF)).astype(np.int64), prepend=0).astype(np.uint32), many=np.packbits(count[s] > 1))) for b, s in _by_bucket(code)]
+        rows = [(b, chunk, packed(HASHES, h=np.diff((code[s] & np.uint64(0xFFFFFFFF)).astype(np.int64), prepend=0), many=np.packbits(count[s] > 1))) for b, s in _by_bucket(code)]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 3, _A.types, strict=True)], schema=_A)
 
     return run
@@ -123,7 +168,7 @@ def _share(table: pa.Table) -> pa.Table:
     chunks = table.column("chunk").to_pylist()
     h, many = [], []
     for blob in table.column("blob"):
-        x = unpacked(blob.as_buffer())
+        x = unpacked(HASHES, blob.as_buffer())
         h.append(np.cumsum(x["h"].astype(np.int64)).astype(np.uint32))
         many.append(np.unpackbits(x["many"], count=len(h[-1])).astype(bool))
     row = np.repeat(np.arange(len(h)), [len(x) for x in h])
@@ -137,7 +182,7 @@ def _share(table: pa.Table) -> pa.Table:
     for i, c in enumerate(chunks):
         own = hs[at[i] : at[i + 1]][shared[at[i] : at[i + 1]]]
         if len(own):
-            rows.append((c, _one(table, "bucket"), packed(h=np.diff(own.astype(np.int64), prepend=0).astype(np.uint32))))
+            rows.append((c, _one(table, "bucket"), packed(SHARED, h=np.diff(own.astype(np.int64), prepend=0))))
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 3, _B.types, strict=True)], schema=_B)
 
 
@@ -149,7 +194,7 @@ def _send_segments(buckets: int):
         x = Anchors(data, at, buckets)
         known = []
         for b, blob in zip(shared.column("bucket").to_pylist(), shared.column("blob"), strict=True):
-            known.append(np.cumsum(unpacked(blob.as_buffer())["h"].astype(np.int64)).astype(np.uint64) | np.uint64(b) << np.uint64(32))
+            known.append(np.cumsum(unpacked(SHARED, blob.as_buffer())["h"].astype(np.int64)).astype(np.uint64) | np.uint64(b) << np.uint64(32))
         known = np.sort(np.concatenate(known))
         spot = np.minimum(np.searchsorted(known, x.code), len(known) - 1)
         c = np.flatnonzero(known[spot] == x.code)
@@ -157,14 +202,18 @@ def _send_segments(buckets: int):
         new = np.flatnonzero(np.concatenate([[True], (x.sid[c][1:] != x.sid[c][:-1]) | (x.code[c][1:] != x.code[c][:-1])])) if len(c) else c
         if not len(new):
             return _A.empty_table()
+        size = x.hi - x.lo + WINDOW
+        again = np.ones(len(c), bool)
+        again[new] = False
+        checked(data, x.lo[c], size[c], np.flatnonzero(again))
         doc = ids[np.searchsorted(at, x.lo[c], side="right") - 1]
         least, most = np.minimum.reduceat(doc, new), np.maximum.reduceat(doc, new)
         u = c[new]
-        size = x.hi[u] - x.lo[u] + WINDOW
+        size = size[u]
         chunk, rows = _one(table, "__chunk"), []
         for b, s in _by_bucket(x.code[u]):
             text = data[ranges(x.lo[u][s], size[s])]
-            rows.append((b, chunk, packed(h=x.code[u][s].astype(np.uint32), sid=x.sid[u][s], left=(x.place - x.lo)[u][s].astype(np.uint8), size=size[s].astype(np.uint8), least=least[s], many=(least != most)[s], text=text)))
+            rows.append((b, chunk, packed(SEGMENTS, h=x.code[u][s] & np.uint64(0xFFFFFFFF), sid=x.sid[u][s], left=(x.place - x.lo)[u][s], size=size[s], least=least[s], many=(least != most)[s], text=text)))
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _A.types, strict=True)], schema=_A)
 
     return run
@@ -254,10 +303,31 @@ class Suffixes:
         return order, new
 
 
+def _large(text: np.ndarray, start: np.ndarray, left: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The windows of one large group (n windows of each segment) in parts: their places in sorted order, and where classes begin."""
+    total = int(n.sum())
+    off = ranges(np.zeros(len(n), np.int64), n)
+    at, place = np.repeat(start, n) + off, np.repeat(left, n) - off
+    parts = -(-total // SORTED_WINDOWS)
+    part = np.zeros(total, np.uint32)
+    cut = np.concatenate([[0], np.cumsum(n)])
+    for a, b in blocks_of(n, SORTED_WINDOWS):
+        own = slice(cut[a], cut[b])
+        rows = text[at[own][:, None] + np.arange(WINDOW)].ravel()
+        edge = np.arange(0, len(rows) + 1, WINDOW)
+        part[own] = span_hashes(prefix_hashes(rows), edge[:-1], edge[1:]) % np.uint64(parts)
+    for p in range(parts):
+        k = np.flatnonzero(part == p)
+        if len(k):
+            k = k[np.argsort(place[k], kind="stable")]
+            order, new = Suffixes(text[at[k][:, None] + np.arange(WINDOW)]).classes(place[k], np.arange(len(k)), np.zeros(len(k), np.int64))
+            yield k[order], np.flatnonzero(new)
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """In a bucket: for each chunk's segments, runs of windows with the smallest document id of their class."""
     chunks = table.column("chunk").to_pylist()
-    parts = [unpacked(blob.as_buffer()) for blob in table.column("blob")]
+    parts = [unpacked(SEGMENTS, blob.as_buffer()) for blob in table.column("blob")]
     row = np.repeat(np.arange(len(parts)), [len(p["h"]) for p in parts])
     h, sid, left, size, least, many = (np.concatenate([p[k] for p in parts]) for k in ("h", "sid", "left", "size", "least", "many"))
     text = np.concatenate([p["text"] for p in parts])
@@ -267,6 +337,9 @@ def _compare(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], (sid[order][1:] != sid[order][:-1]) | (h[order][1:] != h[order][:-1])]))
     u_of = np.empty(len(h), np.int64)
     u_of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    again = np.ones(len(h), bool)
+    again[first] = False
+    checked(text, text_at[order], size[order], np.flatnonzero(again))
     u = order[first]
     u_least = np.minimum.reduceat(least[order], first)
     windows = size[u] - WINDOW + 1
@@ -278,10 +351,15 @@ def _compare(table: pa.Table) -> pa.Table:
     for a, b in blocks_of(group_n[several], SORTED_SEGMENTS):
         g = several[a:b]
         own = ranges(group_at[g], group_n[g])
+        n = windows[own]
+        if len(own) > SORTED_SEGMENTS:  # one large group, in parts
+            least_of, where = np.repeat(u_least[own], n), ranges(w_at[own], n)
+            for k, begin in _large(text, text_at[u[own]], left[u[own]], n):
+                w_least[where[k]] = np.repeat(np.minimum.reduceat(least_of[k], begin), np.diff(np.append(begin, len(k))))
+            continue
         rows = np.zeros((len(own), int(size[u[own]].max())), np.uint8)
         inside = np.arange(rows.shape[1]) < size[u[own]][:, None]
         rows[inside] = text[ranges(text_at[u[own]], size[u[own]])]
-        n = windows[own]
         seg = np.repeat(np.arange(len(own)), n)
         off = ranges(np.zeros(len(own), np.int64), n)
         group = np.repeat(np.repeat(np.arange(len(g)), group_n[g]), n) * 64 + np.repeat(left[u[own]], n) - off
@@ -305,7 +383,7 @@ def _compare(table: pa.Table) -> pa.Table:
         k = wanted[at[i] : at[i + 1]]
         if len(k):
             r = ranges(runs_at[u_of[k]], runs[u_of[k]])
-            rows_out.append((c, _one(table, "bucket"), packed(sid=sid[k], runs=runs[u_of[k]].astype(np.uint8), n=run_n[r].astype(np.uint8), least=run_least[r])))
+            rows_out.append((c, _one(table, "bucket"), packed(RUNS, h=h[k], sid=sid[k], runs=runs[u_of[k]], n=run_n[r], least=run_least[r])))
     return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows_out, strict=True) if rows_out else ([],) * 3, _B.types, strict=True)], schema=_B)
 
 
@@ -314,15 +392,18 @@ def covered(table: pa.Table, found: pa.Table, buckets: int) -> tuple[np.ndarray,
     ids, data, at = _texts(table, only_known=False)
     delta = np.zeros(len(data) + 1, np.int32)
     if found.num_rows:
-        parts = [unpacked(blob.as_buffer()) for blob in found.column("blob")]
+        parts = [unpacked(RUNS, blob.as_buffer()) for blob in found.column("blob")]
         sid, runs, n, least = (np.concatenate([p[k] for p in parts]) for k in ("sid", "runs", "n", "least"))
+        code = np.concatenate([p["h"].astype(np.uint64) | np.uint64(b) << np.uint64(32) for p, b in zip(parts, found.column("bucket").to_pylist(), strict=True)])
         runs, n = runs.astype(np.int64), n.astype(np.int64)
         runs_at = np.cumsum(runs) - runs
         offset = np.cumsum(n) - n - np.repeat((np.cumsum(n) - n)[runs_at], runs)  # of a run within its segment
         order = np.argsort(sid)
+        if (sid[order][1:] == sid[order][:-1]).any():
+            raise RuntimeError(COLLISION)
         x = Anchors(data, at, buckets)
         spot = np.minimum(np.searchsorted(sid[order], x.sid), len(sid) - 1)
-        hit = np.flatnonzero(sid[order][spot] == x.sid)
+        hit = np.flatnonzero((sid[order][spot] == x.sid) & (code[order][spot] == x.code))  # of a shared anchor: its segments were checked
         s = order[spot[hit]]
         r = ranges(runs_at[s], runs[s])
         lo = np.repeat(x.lo[hit], runs[s]) + offset[r]
@@ -333,8 +414,11 @@ def covered(table: pa.Table, found: pa.Table, buckets: int) -> tuple[np.ndarray,
     return data, np.cumsum(delta[:-1]) > 0, at
 
 
-def _digest(buckets: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+
+
+def _digest(buckets: int, with_kept: bool):
+    schema = _SPANS if with_kept else pa.schema(list(_SPANS)[:-1])
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         data, gone, at = covered(table, found, buckets)
@@ -346,7 +430,7 @@ def _digest(buckets: int):
         kept = data[~gone].tobytes()
         cut = at - total[at]
         texts = [kept[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        arrays = [table.column("__doc_id").combine_chunks(), np.diff(at), np.diff(total[at]), np.diff(spans[at]), [hashlib.sha256(t).hexdigest() for t in texts], texts]
+        arrays = [table.column("__doc_id").combine_chunks(), np.diff(at), np.diff(total[at]), np.diff(spans[at]), [hashlib.sha256(t).hexdigest() for t in texts], texts][: len(schema)]
         return pa.Table.from_arrays([pa.array(a, t) if not isinstance(a, pa.Array) else a for a, t in zip(arrays, schema.types, strict=True)], schema=schema)
 
     return run
@@ -388,19 +472,19 @@ def _found(chunked: DataFrame, chunks: int) -> tuple[DataFrame, int]:
     return segments.groupBy("bucket").applyInArrow(tidied_group(_compare), _SQL["B"]), buckets
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
     """What is left of each whole text without bytes that a 50-byte string of an earlier document covers.
 
     A byte goes if a 50-byte string that covers it also starts in a document of smaller doc_id; strings
     are judged on the input and never cross documents. Returns one row per input row: doc_id, n_bytes,
-    n_removed, n_spans (maximal removed runs), kept_sha256, kept (binary). A null text is empty; a text
+    n_removed, n_spans (maximal removed runs), kept_sha256, kept (binary; left out unless ``with_kept``). A null text is empty; a text
     without doc_id keeps everything and removes nothing elsewhere; rows that repeat a doc_id don't cut
     each other; other columns are ignored; an empty table gives no rows.
     """
     bounded_arrow(docs.sparkSession)
     chunked, chunks = _chunked(docs, id_col, text_col, extra=False)
     found, buckets = _found(chunked, chunks)
-    return chunked.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(tidied_group(_digest(buckets)), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return chunked.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(tidied_group(_digest(buckets, with_kept)), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept)
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
