@@ -16,14 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docforge.llm.common import as_bytes, batches_of, id_text, mixed, PairTable, POWERS, tidied, Words
+from docforge.llm.common import as_bytes, batches_of, id_text, mixed, PairTable, POWERS, ranges, tidied, Words
 from docforge.plans.tables import bounded_arrow
 
 #: A byte without a piece costs this much more than the rarest piece.
 UNKNOWN_PENALTY = 10.0
-#: Pre-tokens of more bytes are scored one by one.
-ROW_BYTES = 40
-ROWS = 1 << 16
+#: Pre-tokens of more bytes go into tries of their own, with others of about their length; rows and cells of a trie; fewer rows are scored word by word.
+ROW_BYTES, ROWS, CELLS, FEW = 40, 1 << 16, 1 << 22, 8
 
 
 @lru_cache(maxsize=2)
@@ -77,22 +76,32 @@ class Lattice:
         at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
         size = np.diff(at)
         score, count = np.zeros(len(words)), np.zeros(len(words), np.int64)
-        for i in np.flatnonzero(size > ROW_BYTES):
-            score[i], count[i] = self.one(words[i].as_py())
+        data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
         short = np.flatnonzero((size > 0) & (size <= ROW_BYTES))
-        if not len(short):
-            return score, count
-        data = np.frombuffer(words.buffers()[2], np.uint8)
-        width = int(size[short].max())
-        rows = np.zeros((len(short), width), np.uint8)
-        cols = np.arange(width)
-        inside = cols < size[short][:, None]
-        rows[inside] = data[(at[short][:, None] + cols)[inside]] + 1  # no byte of UTF-8 is 255
-        order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
-        rows, short = rows[order], short[order]
-        for a in range(0, len(short), ROWS):
-            part = slice(a, min(a + ROWS, len(short)))
-            score[short[part]], count[short[part]] = self._trie(rows[part], size[short[part]])
+        long = np.flatnonzero(size > ROW_BYTES)
+        long = long[np.argsort(size[long], kind="stable")]
+        blocks = [short] if len(short) else []
+        a = 0
+        while a < len(long):  # by rising length, so that a block's rows are nearly full
+            b = a + 1
+            while b < len(long) and b - a < ROWS and (b + 1 - a) * size[long[b]] <= CELLS:
+                b += 1
+            blocks.append(long[a:b])
+            a = b
+        for own in blocks:
+            if len(own) < FEW and size[own[-1]] > ROW_BYTES:
+                for i in own:
+                    score[i], count[i] = self.one(words[i].as_py())
+                continue
+            width = int(size[own].max())
+            rows = np.zeros((len(own), width), np.uint8)
+            inside = np.arange(width) < size[own][:, None]
+            rows[inside] = data[ranges(at[own], size[own])] + 1  # no byte of UTF-8 is 255
+            order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+            rows, own = rows[order], own[order]
+            for i in range(0, len(own), ROWS):
+                part = slice(i, min(i + ROWS, len(own)))
+                score[own[part]], count[own[part]] = self._trie(rows[part], size[own[part]])
         return score, count
 
     def _trie(self, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
