@@ -39,6 +39,16 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[\\s　​﻿]+", "")
 
 
+#: Presentation forms and what they stand for: dashes, curly quotes, and full-width forms of ASCII (the part of NFKC that extraction meets).
+_FORMS = {**dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-"), **dict.fromkeys("\u2018\u2019\u201a\u201b", "'"), **dict.fromkeys("\u201c\u201d\u201e\u201f", '"'), **{chr(0xFEE0 + i): chr(i) for i in range(0x21, 0x7F)}}
+
+
+def presented(c: Column) -> Column:
+    """Plain dashes, quotes and widths, ligatures of f written out, no soft hyphens, white space squeezed."""
+    bare = F.translate(c, "".join(_FORMS) + "\u00ad", "".join(_FORMS.values()))
+    return squeezed(F.regexp_replace(F.regexp_replace(bare, "\ufb01", "fi"), "\ufb02", "fl"))
+
+
 def plain(c: Column) -> Column:
     """Lower-case words joined by single blanks."""
     return F.trim(F.regexp_replace(F.lower(c), NOT_WORD_OR_LOW_LINE, " "))

@@ -84,3 +84,28 @@ def error_summary(rates: DataFrame) -> DataFrame:
     s = rates.agg(F.count(F.lit(1)).alias("n"), F.avg("cer").alias("mean_cer"), F.median("cer").alias("median_cer"), (F.sum("edits") / F.sum("gold_chars")).alias("weighted_cer"), F.avg("wer").alias("mean_wer"), (F.sum("word_edits") / F.sum("gold_words")).alias("weighted_wer"), F.sum(F.when(F.col("passed"), 1).otherwise(0)).cast("long").alias("n_passed"))
     low, high = wilson(F.col("n_passed"), F.col("n"))
     return s.select("*", (F.col("n_passed") / F.col("n")).alias("pass_rate"), low.alias("low"), high.alias("high"))
+
+
+def disagreement_patterns(pairs: DataFrame) -> DataFrame:
+    """Five detectors over records on which two sides differ, and those that none explains (A15): pattern, n, example (least id).
+
+    Columns: id, and for each side a_ and b_: title, publisher, author (plain lower case or not), issued (parts joined by -).
+    A record may fit several detectors.
+    """
+    low = lambda c: F.lower(F.col(c))
+    a, b = low("a_title"), low("b_title")
+    inside = lambda p, n: (F.length(p) >= 3) & (p != n) & (F.instr(n, p) > 0)
+    parts = lambda c: F.split(F.col(c), "-")
+    words = lambda c: F.filter(F.split(low(c), r"[\s,]+"), lambda w: w != "")
+    base = lambda t: F.trim(F.split(t, r":\s|：", 2)[0])
+    tests = {
+        "publisher_in_author": F.coalesce(inside(low("a_publisher"), low("b_author")), F.lit(False)) | F.coalesce(inside(low("b_publisher"), low("a_author")), F.lit(False)),
+        "title_prefix": (a != b) & (F.least(F.length(a), F.length(b)) >= 3) & (a.startswith(b) | b.startswith(a)),
+        "date_precision": (parts("a_issued")[0] == parts("b_issued")[0]) & (F.size(parts("a_issued")) != F.size(parts("b_issued"))),
+        "name_order": (F.size(words("a_author")) >= 2) & (words("a_author") != words("b_author")) & (F.array_sort(words("a_author")) == F.array_sort(words("b_author"))),
+        "subtitle_split": (a != b) & (base(a) != "") & (base(a) == base(b)),
+    }
+    flags = pairs.select("id", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in tests.items()))
+    flags = flags.withColumn("unexplained", ~F.greatest(*tests))
+    each = flags.select("id", F.explode(F.map_from_arrays(F.array(*map(F.lit, [*tests, "unexplained"])), F.array(*tests, "unexplained"))).alias("pattern", "hit"))
+    return each.groupBy("pattern").agg(F.count_if("hit").alias("n"), F.min(F.when(F.col("hit"), F.col("id"))).alias("example"))

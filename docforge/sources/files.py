@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Readable rows and unreadable lines of a JSON-lines file (S15): a truncated line never fails the read."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("_corrupt")
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON-lines files, and each unreadable line under corrupt, which is null for the others (S15): a cut line never fails the read."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", f"{schema}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}).alias("r")).select("r.*")
+
+
+def manifest(rows: DataFrame, digest: str, order: str) -> DataFrame:
+    """Rows with a whole digest, the first of each, with their place by digest (S18): digest, order, place."""
+    first = rows.where(F.col(digest).rlike("^[0-9a-f]{64}$")).groupBy(digest).agg(F.min(order).alias(order))
+    # places without one task for all rows: counted within leading bytes, after those of smaller ones
+    byte = first.withColumn("__b", F.substring(digest, 1, 2))
+    before = byte.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy(digest)) + F.col("before")
+    return byte.join(F.broadcast(before.select("__b", "before")), "__b").select(digest, order, place.cast("long").alias("place"))
 
 
 def sources(spark: SparkSession, path: str) -> DataFrame:
@@ -18,11 +28,17 @@ def sources(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("input_ref"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def tei_fields(text: Column) -> Column:
+    """Title, author, publisher, date and identifier of a TEI document as a struct."""
+    x = F.regexp_replace(text, r'\sxmlns(:\w+)?="[^"]*"', "")
+    get = lambda p: F.nullif(F.trim(F.xpath_string(x, F.lit(p))), F.lit(""))
+    paths = {"title": "//titleStmt/title", "author": "//sourceDesc//author//surname", "publisher": "//publicationStmt/publisher", "issued": "//publicationStmt/date", "idno": "//idno"}
+    return F.struct(*(get(p).alias(n) for n, p in paths.items()))
+
+
 def tei_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Title, author, publisher, date and identifier of TEI documents (S16): file, title, author, publisher, issued, idno."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r'\sxmlns(:\w+)?="[^"]*"', "").alias("x"))
-    get = lambda p: F.nullif(F.trim(F.expr(f"xpath_string(x, '{p}')")), F.lit(""))
-    return docs.select("file", get("//titleStmt/title").alias("title"), get("//sourceDesc//author//surname").alias("author"), get("//publicationStmt/publisher").alias("publisher"), get("//publicationStmt/date").alias("issued"), get("//idno").alias("idno"))
+    """The fields of TEI files (S16): file, title, author, publisher, issued, idno."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), tei_fields(F.col("value")).alias("x")).select("file", "x.*")
 
 
 def write_records(records: DataFrame, path: str, key: str) -> None:

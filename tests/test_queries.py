@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from docforge.plans import document_queries, record_queries, rule_queries  # noqa: F401
+import __spark_entry__  # noqa: F401 - its modules register their queries
 from docforge.plans.registry import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
