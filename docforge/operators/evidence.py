@@ -19,28 +19,40 @@ def _anchors(words: Column, n: int) -> Column:
 
 
 def contained(quotes: DataFrame, docs: DataFrame, *, n: int = 4) -> DataFrame:
-    """Pairs (item_id, doc_id) where the lower-case text of a quote occurs in a document's.
+    """Pairs (item_id, doc_id, quote, text) where the lower-case text of a quote occurs in a document's.
 
-    Candidates meet at a run of n inner words of the quote (its ends may touch other text), by an
-    equi-join; the whole text is then verified. Quotes of fewer than n + 2 words meet at fewer.
+    A quote and a document meet at one run of n inner words of the quote (its ends may touch other text): the one
+    that is in the fewest documents. Shorter quotes meet at an inner word, those of one or two words at three
+    characters. Only ids and hashes are shuffled before a pair is known; then its texts are fetched and compared.
     """
     q = quotes.select("item_id", F.lower("text").alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", r"\s+"))
     d = docs.select("doc_id", F.lower("text").alias("text")).withColumn("w", F.split("text", r"\s+"))
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
     found = None
-    for k, cond in ((n, F.size("w") >= n + 2), (1, (F.size("w") >= 3) & (F.size("w") < n + 2))):
-        anchor = q.where(cond).select("item_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, k), " ")).alias("anchor"))
-        meet = d.select("doc_id", "text", F.explode(_anchors(F.col("w"), k)).alias("anchor")).join(anchor, "anchor").where(F.expr("contains(text, quote)"))
-        part = meet.select("item_id", "doc_id", "quote", "text")
+    for runs, of_docs, cond in (
+        (_anchors(inner, n), _anchors(F.col("w"), n), F.size("w") >= n + 2),
+        (_anchors(inner, 1), _anchors(F.col("w"), 1), (F.size("w") >= 3) & (F.size("w") < n + 2)),
+        (_grams(F.col("quote")), _grams(F.col("text")), F.size("w") < 3),
+    ):
+        wanted = q.where(cond).select("item_id", F.explode(runs).alias("anchor"))
+        hits = d.select("doc_id", F.explode(of_docs).alias("anchor")).join(wanted.select("anchor").distinct(), "anchor", "left_semi")
+        spread = hits.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+        rarest = wanted.join(spread, "anchor", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("m")).where("m.n > 0").select("item_id", "m.anchor")
+        part = hits.join(rarest, "anchor").select("item_id", "doc_id").distinct()
         found = part if found is None else found.unionByName(part)
-    short = q.where(F.size("w") < 3).select("item_id", "quote", F.explode(F.split("quote", "")).alias("c")).where("c <> ''").groupBy("item_id", "quote").agg(F.min("c").alias("c"))
-    chars = d.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", ""))).alias("c"))
-    return found.unionByName(chars.join(short, "c").where(F.expr("contains(text, quote)")).select("item_id", "doc_id", "quote", "text"))
+    return found.join(q.select("item_id", "quote"), "item_id").join(d.select("doc_id", "text"), "doc_id").where(F.expr("contains(text, quote)")).select("item_id", "doc_id", "quote", "text")
+
+
+def _grams(c: Column) -> Column:
+    """Hashes of all runs of three characters; of the whole text where it is shorter."""
+    last = F.greatest(F.length(c) - 2, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(c, i, F.lit(3)))))
 
 
 def replayed(pairs: DataFrame, context: int = 45) -> DataFrame:
     """Occurrences of a quote in its documents, overlaps counted (E05): item_id, doc_id, n, first_pos, context."""
-    positions = F.expr("filter(sequence(1, greatest(1, length(text) - length(quote) + 1)), i -> substr(text, i, length(quote)) = quote)")
-    p = pairs.withColumn("positions", positions).withColumn("n", F.size("positions").cast("long")).withColumn("first_pos", F.get("positions", F.lit(0)).cast("long"))
+    literal = F.concat(F.lit("(?=\\Q"), F.replace("quote", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    p = pairs.withColumn("n", F.regexp_count("text", literal).cast("long")).withColumn("first_pos", F.instr("text", F.col("quote")).cast("long"))
     begin = F.greatest(F.lit(1), F.col("first_pos") - context)
     return p.select("item_id", "doc_id", "n", "first_pos", F.substring("text", begin, F.col("first_pos") + F.length("quote") + context - begin).alias("context"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +62,23 @@ def given_agrees(a: Column, b: Column) -> Column:
 def same_names(a: Column, b: Column) -> Column:
     """Whether two arrays of names have equal token sets, place by place."""
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: name_tokens(x) == name_tokens(y)), lambda e: F.coalesce(e, F.lit(False)))
+
+
+#: Bytes of a reference table that every task holds at most.
+FEW_BYTES = 64 << 20
+
+
+def against_few(rows: DataFrame, few: DataFrame, key: str, value: str, score: Callable[[Column, Column], Column], column: str) -> DataFrame:
+    """Each row with its score against every entry of a reference table (V02): the row's columns, key, score.
+
+    The table is a stated set, such as a centroid for each label. Up to FEW_BYTES it is sent to all tasks as one value
+    (its size is counted first); a larger one is taken in blocks of that size, in passes over the rows.
+    """
+    sized = few.agg(F.coalesce(F.sum(F.size(value) * 8 + 64), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(sized / FEW_BYTES))
+    out = None
+    for b in range(blocks):
+        own = few.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).agg(F.collect_list(F.struct(key, value)).alias("__few"))
+        part = rows.join(F.broadcast(own)).select(*rows.columns, F.explode(F.transform("__few", lambda f: F.struct(f[key].alias(key), score(F.col(column), f[value]).alias("score")))).alias("__f")).select(*rows.columns, "__f.*")
+        out = part if out is None else out.unionByName(part)
+    return out

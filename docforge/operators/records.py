@@ -48,9 +48,13 @@ def looks_like_filename(title: Column, path: Column) -> Column:
     return (t == base) | (t == stem) | t.rlike(r"^[0-9a-f]{32,64}\.pdf$")
 
 
+# Words that begin a fragment of a sentence.
+FRAGMENT = r"^(?:the|and|with|for|of|in|on|der|die|das|le|la|les|el|los) "
+
+
 def kept_authors(names: Column) -> Column:
     """Names without over-long ones and sentence fragments."""
-    return F.filter(names, lambda n: (F.length(n) <= 80) & (F.trim(n) != "") & ~F.lower(n).rlike(r"^(?:the|and|with|for|of|in|on|der|die|das|le|la|les|el|los) "))
+    return F.filter(names, lambda n: (F.length(n) <= 80) & (F.trim(n) != "") & ~F.lower(n).rlike(FRAGMENT))
 
 
 def western_name(c: Column) -> tuple[Column, Column]:

@@ -95,19 +95,32 @@ def section_spans(headings: DataFrame, ends: DataFrame) -> DataFrame:
     return headings.withColumn("next_start", end).join(ends, "doc_id").select("doc_id", "level", F.col("line_no").alias("start_line"), F.coalesce(F.col("next_start") - 1, "last_line").alias("end_line"))
 
 
+def _covering(points: DataFrame, spans: DataFrame, max_level: int = 6) -> DataFrame:
+    """Each point (doc_id, line_no) with its covering sections, as an array of (level, start_line, end_line).
+
+    Sections of one level don't overlap, so the last one of each level that began is the only one that may cover a
+    point: one running value per level, no join.
+    """
+    kind = lambda k: F.lit(k).alias("kind")
+    none = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
+    begins = spans.select("doc_id", F.col("start_line").alias("line_no"), kind(0), F.col("level").cast("long").alias("level"), F.col("end_line").cast("long").alias("end_line"))
+    both = begins.unionByName(points.select("doc_id", "line_no", kind(1), *none("level", "end_line")))
+    so_far = Window.partitionBy("doc_id").orderBy("line_no", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("level") == k, F.struct("level", F.col("line_no").alias("start_line"), "end_line")), True).over(so_far).alias(f"s{k}") for k in range(1, max_level + 1)]
+    own = both.select("doc_id", "line_no", "kind", *last).where("kind = 1")
+    return own.select("doc_id", "line_no", F.filter(F.array(*(f"s{k}" for k in range(1, max_level + 1))), lambda x: x.end_line >= F.col("line_no")).alias("covering")).where(F.size("covering") > 0)
+
+
 def deepest_section(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """For each point (doc_id, line_no) the covering section of greatest level, latest start."""
-    p, s = points.alias("p"), spans.alias("s")
-    hit = (F.col("p.doc_id") == F.col("s.doc_id")) & F.col("p.line_no").between(F.col("s.start_line"), F.col("s.end_line"))
-    return p.join(s, hit).groupBy("p.doc_id", "p.line_no").agg(F.max_by(F.struct("s.level", "s.start_line"), F.struct("s.level", "s.start_line")).alias("m"), F.count(F.lit(1)).alias("n_covering")).select("doc_id", "line_no", F.col("m.level").alias("level"), F.col("m.start_line").alias("start_line"), "n_covering")
+    """For each point (doc_id, line_no) the covering section of greatest level, latest start (J04). Sections of one level don't overlap."""
+    deepest = F.array_max("covering")
+    return _covering(points, spans).select("doc_id", "line_no", deepest.level.alias("level"), deepest.start_line.alias("start_line"), F.size("covering").cast("long").alias("n_covering"))
 
 
 def first_claims(items: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each item (doc_id, line_no) goes to the first span that covers it, by start and then end."""
-    i, s = items.alias("i"), spans.alias("s")
-    hit = (F.col("i.doc_id") == F.col("s.doc_id")) & F.col("i.line_no").between(F.col("s.start_line"), F.col("s.end_line"))
-    best = F.min(F.struct("s.start_line", "s.end_line")).alias("m")
-    return i.join(s, hit).groupBy("i.doc_id", "i.line_no").agg(best).select("doc_id", "line_no", F.col("m.start_line").alias("start_line"), F.col("m.end_line").alias("end_line"))
+    """Each item (doc_id, line_no) goes to the first span that covers it, by start and then end (J03). Spans of one level don't overlap."""
+    first = F.array_min(F.transform("covering", lambda x: F.struct(x.start_line.alias("start_line"), x.end_line.alias("end_line"))))
+    return _covering(items, spans).select("doc_id", "line_no", first.start_line.alias("start_line"), first.end_line.alias("end_line"))
 
 
 def islands(points: DataFrame, key: str, value: str) -> DataFrame:

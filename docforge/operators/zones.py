@@ -17,6 +17,8 @@ MARKERS = (
 THESIS = (r"(?:^|[^\p{L}\p{N}_])thesis(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])dissertation(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])a\s+thesis\s+submitted(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])in\s+partial\s+fulfillment(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])degree\s+of(?:$|[^\p{L}\p{N}_])", "学位论文", "硕士", "博士")
 BOOK = ("图书在版编目", r"(?:^|[^\p{L}\p{N}_])cip(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])isbn(?:$|[^\p{L}\p{N}_])", r"copyright\s*©", r"all\s+rights\s+reserved", r"published\s+by", "出版社", "出版发行")
 PAPER = (r"(?:^|[^\p{L}\p{N}_])doi(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])abstract(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])keywords?(?:$|[^\p{L}\p{N}_])", r"received\s*[:：]", r"accepted\s*[:：]", r"corresponding\s+author", r"(?:^|[^\p{L}\p{N}_])volume(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])issue(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])pp\.")
+#: Letters that a line has if one of the signals above is in it.
+SIGNAL_LETTERS = ("thesis", "dissert", "partial", "degree", "学位论文", "硕士", "博士", "图书", "cip", "isbn", "copyright", "rights", "published", "出版", "doi", "abstract", "keyword", "received", "accepted", "author", "volume", "issue", "pp.", "press", "publications", "verlag", "books")
 PUBLISHER_LINE = r"^[A-Z][\p{L}\p{N}_&'’.,\- ]{0,59}?(?i:press|publications|verlag|books)\.?$"
 BARE_DOI = r"(?:^|[^\p{L}\p{N}_])10\.\d{4,9}/\S+"
 # Zone signals.
@@ -55,15 +57,24 @@ def candidate_pages(scores: DataFrame, k: int = 8) -> DataFrame:
     return best.unionByName(more).where("page between 1 and n").select("source", "page")
 
 
+def _any(c: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | c.contains(w)
+    return out
+
+
 def document_types(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """Book, paper or thesis by distinct signals, then page count (A19): doc_id, type, confidence, n_signals.
 
     ``pages`` has doc_id and page_count.
     """
-    flag = lambda p, i: F.max(F.when(F.col("line").rlike(f"(?i){p}"), 1).otherwise(0)).alias(i)
+    # most lines hold no signal's letters at all: these go by plain search before any pattern is tried
+    lines = lines.withColumn("low", F.lower("line")).withColumn("near", F.lit(False) | _any(F.col("low"), SIGNAL_LETTERS))
+    flag = lambda p, i: F.max(F.when(F.col("near") & F.col("line").rlike(f"(?i){p}"), 1).otherwise(0)).alias(i)
     named = [(f"{kind}{i}", p) for kind, ps in (("t", THESIS), ("b", BOOK), ("p", PAPER)) for i, p in enumerate(ps)]
-    suffix = F.max(F.when(T.stripped(F.col("line")).rlike(PUBLISHER_LINE), 1).otherwise(0)).alias("b99")
-    found = lines.groupBy("doc_id").agg(*(flag(p, n) for n, p in named), suffix, F.max(F.col("line").rlike(BARE_DOI)).alias("has_doi"))
+    suffix = F.max(F.when(F.col("near") & T.stripped(F.col("line")).rlike(PUBLISHER_LINE), 1).otherwise(0)).alias("b99")
+    found = lines.groupBy("doc_id").agg(*(flag(p, n) for n, p in named), suffix, F.max(F.col("line").contains("10.") & F.col("line").rlike(BARE_DOI)).alias("has_doi"))
     total = lambda kind: sum((F.col(c) for c in found.columns if c[0] == kind and c[1:].isdigit()), F.lit(0))
     s = found.select("doc_id", "has_doi", total("t").alias("thesis"), total("b").alias("book"), total("p").alias("paper")).join(pages, "doc_id")
     kind = F.when(F.col("thesis") > 0, "thesis").when(F.col("book") > 0, "book").when(F.col("paper") > 0, "paper").when((F.col("page_count") <= 12) & F.col("has_doi") & (F.col("page_count") > 0), "paper").otherwise("book")

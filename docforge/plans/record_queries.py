@@ -199,8 +199,7 @@ def cer_summary(t):
 
 @query("A10", "WITH v AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type) SELECT event_type, v[round_even((len(v) - 1) * 0.5, 0)::BIGINT + 1] AS p50, v[round_even((len(v) - 1) * 0.95, 0)::BIGINT + 1] AS p95 FROM v")
 def latency_pctl(t):
-    v = t("events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return v.select("event_type", score.nearest_rank(F.col("v"), 0.5).alias("p50"), score.nearest_rank(F.col("v"), 0.95).alias("p95"))
+    return score.percentiles(t("events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query(
@@ -227,10 +226,12 @@ def authority_match(t):
     SELECT vec_id, CASE WHEN score >= 0.2 AND round(score - second, 9) >= 0.05 THEN k END AS k, round(score, 6) AS score, CASE WHEN score < 0.2 THEN 'below_threshold' WHEN round(score - second, 9) < 0.05 THEN 'ambiguous_identity' ELSE 'linked' END AS decision FROM r WHERE r = 1""",
 )
 def cosine_top1(t):
-    e = t("embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    c = e.groupBy(F.col("label").alias("k"), "i").agg(F.avg("x").alias("y"))
-    s = e.join(c, "i").groupBy("vec_id", "k").agg((F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("score"))
-    return match.top_with_margin(s, "vec_id", "k", "score", 0.2).withColumn("score", F.round("score", 6))
+    e = t("embeddings")
+    x = e.select("label", F.posexplode("embedding").alias("i", "x"))
+    mean = x.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("y"))
+    centroids = mean.groupBy(F.col("label").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda p: p.y).alias("c"))
+    scored = match.against_few(e.select("vec_id", "embedding"), centroids, "k", "c", lambda row, few: match.cosine(row, few), "embedding")
+    return match.top_with_margin(scored, "vec_id", "k", "score", 0.2).withColumn("score", F.round("score", 6))
 
 
 _ISBN = "lpad(((p_partkey * 7919 + p_size * 104729) % 10000000000)::VARCHAR, 10, '0')"

@@ -2,8 +2,8 @@
 
 ``spark.checkpoint.dir`` names a folder that the driver and all executors share. A table written
 there is read back with its schema, so a later stage neither recomputes its inputs nor depends on
-blocks held by one executor. Where the setting is absent (a local test session) a temporary folder
-of this machine is used and recorded in the session.
+blocks held by one executor. Where the setting is absent, a session whose executors are this machine
+(a local test session) gets a temporary folder, recorded in the session; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ ARROW_BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; on a session without one, a temporary folder that is then kept."""
+    """The shared folder; on a local session without one, a temporary folder that is then kept."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docforge-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
