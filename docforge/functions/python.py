@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import ipaddress
 import unicodedata
 from difflib import SequenceMatcher
-from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,26 +40,3 @@ def folded(c: str) -> Column:
         return x.map(lambda v: None if v is None else bare(v))
 
     return form(c)
-
-
-def public_url(c: str | Column) -> Column:
-    """Whether a URL may be fetched by its form alone (F03): HTTP(S), a host, no userinfo, not this machine, an IP literal only if global."""
-
-    @F.pandas_udf("boolean")
-    def public(x: pd.Series) -> pd.Series:
-        def one(url):
-            try:
-                parts = urlparse(url)
-                name = (parts.hostname or "").rstrip(".")
-            except ValueError:
-                return False
-            if parts.scheme not in ("http", "https") or not parts.hostname or parts.username is not None or parts.password is not None or name in ("localhost", "localhost.localdomain"):
-                return False
-            try:
-                return ipaddress.ip_address(name).is_global
-            except ValueError:
-                return True
-
-        return x.map(lambda v: None if v is None else one(v))
-
-    return public(c)
