@@ -411,7 +411,17 @@ def covered(table: pa.Table, found: pa.Table, buckets: int) -> tuple[np.ndarray,
         cut = least[r] < doc  # a text without an id has the least one there is, and so keeps everything
         np.add.at(delta, lo[cut], 1)
         np.add.at(delta, lo[cut] + n[r][cut] - 1 + WINDOW, -1)
-    return data, np.cumsum(delta[:-1]) > 0, at
+    np.cumsum(delta, out=delta)
+    return data, delta[:-1] > 0, at
+
+
+def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many flags are set in each text, without arrays of the chunk's length."""
+    out = np.zeros(len(at) - 1, np.int64)
+    some = at[1:] > at[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(flags, at[:-1][some], dtype=np.int64)
+    return out
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -422,15 +432,16 @@ def _digest(buckets: int, with_kept: bool):
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         data, gone, at = covered(table, found, buckets)
-        total = np.concatenate([[0], np.cumsum(gone)])
-        begins = gone & ~np.concatenate([[False], gone[:-1]])
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
         starts = at[:-1][at[:-1] < len(data)]
         begins[starts] = gone[starts]
-        spans = np.concatenate([[0], np.cumsum(begins)])
-        kept = data[~gone].tobytes()
-        cut = at - total[at]
+        removed, spans = per_text(gone, at), per_text(begins, at)
+        del begins
+        kept = memoryview(data[~gone].tobytes())
+        cut = at - np.concatenate([[0], np.cumsum(removed)])
         texts = [kept[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        arrays = [table.column("__doc_id").combine_chunks(), np.diff(at), np.diff(total[at]), np.diff(spans[at]), [hashlib.sha256(t).hexdigest() for t in texts], texts][: len(schema)]
+        arrays = [table.column("__doc_id").combine_chunks(), np.diff(at), removed, spans, [hashlib.sha256(t).hexdigest() for t in texts], [bytes(t) for t in texts] if with_kept else None][: len(schema)]
         return pa.Table.from_arrays([pa.array(a, t) if not isinstance(a, pa.Array) else a for a, t in zip(arrays, schema.types, strict=True)], schema=schema)
 
     return run
@@ -441,15 +452,16 @@ def _rewrite(buckets: int, text_col: str):
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         data, gone, at = covered(table, found, buckets)
-        if len(data):
-            head = np.flatnonzero((data & 0xC0) != 0x80)
-            whole = np.logical_and.reduceat(gone, head)
-            gone = np.repeat(whole, np.diff(np.append(head, len(data))))
-        total = np.concatenate([[0], np.cumsum(gone)])
-        cut = (at - total[at]).astype(np.int32)
-        kept = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data[~gone])))
+        kept = ~gone
+        inside = (data & 0xC0) == 0x80  # bytes of a character after its first
+        for _ in range(3):  # a byte that stays keeps its character's other bytes
+            kept[1:] |= kept[:-1] & inside[1:]
+        for _ in range(3):
+            kept[:-1] |= kept[1:] & inside[1:]
+        cut = np.concatenate([[0], np.cumsum(per_text(kept, at))]).astype(np.int32)
+        texts = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data[kept])))
         i = table.schema.get_field_index(text_col)
-        out = table.set_column(i, text_col, pa.chunked_array([pa.array(kept)]))
+        out = table.set_column(i, text_col, pa.chunked_array([pa.array(texts)]))
         return out.select([n for n in out.column_names if n not in ("__chunk", "__doc_id", "__text")])
 
     return run
