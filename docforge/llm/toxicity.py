@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Voters are entries of a fixed lexicon, words and word beginnings that labelled training rows set apart
-(mined from a bounded sample of them), patterns of style (direct address, masked words, shouting), and
+(mined from a bounded sample of them; one that only repeats better ones is left out), patterns of style (direct address, masked words, shouting), and
 rules on how many entries a text holds and how densely. A generative label model, fitted by EM, estimates
 for each voter how it votes on toxic and on other texts. Voters that go together beyond what the label
 explains form cliques, of which the model has the joint distribution of votes. The labels only mine the lexicon and
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from docforge.llm.common import as_bytes, batches_of, fold, id_text, ranges, tidied, Words
 from docforge.plans.tables import bounded_arrow, release, written
 
-#: Labelled rows that are used at most.
-SAMPLE_ROWS = 20_000
+#: Labelled rows that are used at most, and of a part of the sample, which is too small in bytes to be dealt to several tasks by itself.
+SAMPLE_ROWS, SAMPLE_PART = 20_000, 625
 BEGINNINGS = range(4, 9)
 #: Least log-likelihood ratio of a mined pattern (a chance of about 1e-6, as many are tried), and how much more frequent it is in toxic texts.
 LEAST_GAIN, LEAST_RATIO = 24.0, 4.0
+#: What a text counts for further patterns once one is chosen that it holds.
+COVERED = 0.5
 #: Voters whose residual correlation is greater are modelled jointly, this many at most in one clique.
 CORRELATED, CLIQUE = 0.15, 4
 # Insults and abuse in English, German, French and Spanish that are hardly anything else.
@@ -231,21 +233,55 @@ def _gain(k: Column, m: Column, n1: float, n0: float) -> Column:
     return F.lit(2.0) * (parts[0] + parts[1] + parts[2] + parts[3])
 
 
-def distinct_patterns(rated: list[tuple[str, float]]) -> list[str]:
-    """Patterns by falling gain; of a pattern and its beginnings or continuations, the best one."""
+def gains(k: np.ndarray, m: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Log-likelihood ratios as in _gain, and 0 where a pattern isn't LEAST_RATIO times as frequent in toxic texts."""
+    cells = [(k, k + m, n1), (m, k + m, n0), (n1 - k, n1 + n0 - k - m, n1), (n0 - m, n1 + n0 - k - m, n0)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        total = sum(np.where(x > 0, x * np.log(x * (n1 + n0) / (row * column)), 0.0) for x, row, column in cells)
+    return np.where((k + 0.5) / (n1 + 1) > LEAST_RATIO * (m + 0.5) / (n0 + 1), 2 * total, 0.0)
+
+
+def covering(names: list[str], doc: np.ndarray, entry: np.ndarray, toxic: np.ndarray) -> list[str]:
+    """Patterns by weighted covering: the best one again and again, texts that hold it counting COVERED of what they did.
+
+    So a word that came with others into some copies falls behind, and one that stands for itself in enough texts
+    does not. Of a pattern and its beginnings or continuations, only the best one counts. ``doc`` and ``entry`` are the pairs of a text
+    (a place in toxic) and a pattern in it. Ties go to whole words, then to longer ones.
+    """
+    rank = np.empty(len(names), np.int64)
+    rank[sorted(range(len(names)), key=lambda i: (not names[i].endswith(" "), -len(names[i]), names[i]))] = np.arange(len(names))
+    weight = np.ones(len(toxic))
     out: list[str] = []
-    taken: set[str] = set()
-    beginnings: set[str] = set()
-    for p, _ in sorted(rated, key=lambda x: (-round(x[1], 9), not x[0].endswith(" "), -len(x[0]), x[0])):
-        bare = p.rstrip()
-        if bare in beginnings or any(bare[:i] in taken for i in range(1, len(bare) + 1)):
-            continue
-        out.append(p)
-        taken.add(bare)
-        beginnings.update(bare[:i] for i in range(1, len(bare) + 1))
+    while len(doc):
+        bad = toxic[doc]
+        k, m = (np.bincount(entry[own], weights=weight[doc[own]], minlength=len(names)) for own in (bad, ~bad))
+        g = np.round(gains(k, m, weight[toxic].sum(), weight[~toxic].sum()), 9)
+        best = int(np.lexsort((rank, -g))[0])
+        if g[best] <= LEAST_GAIN:
+            break
+        out.append(names[best])
+        weight[doc[entry == best]] *= COVERED
+        bare = names[best].rstrip()
+        near = np.array([x.startswith(bare) or bare.startswith(x.rstrip()) for x in names])
+        doc, entry = doc[~near[entry]], entry[~near[entry]]
     return out
 
 
+def _entries(names: list[str]):
+    """The patterns that each text has, as places in names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Matcher(names)
+        for batch in batches_of(batches, 4 << 20):
+            words = Words(as_bytes(batch.column(1)))
+            _, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
+            doc, entry = _presence(m.words(words.spelled(first).to_pylist()), place, words.doc)
+            at = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(at), pa.array(entry.astype(np.int32)))], names=["doc_id", "toxic", "entries"])
+
+    return run
+
+
 def _rows(patterns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(patterns)
@@ -268,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id"), 5) != 0)
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     own = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    sample = written(own.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic"), "sample")
+    sample = written(own.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic").repartition(max(1, sample_rows // SAMPLE_PART), "doc_id"), "sample")
     sizes = {r.toxic: r.n for r in sample.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_other:
@@ -280,7 +316,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     apart = (k + 0.5) / (n_toxic + 1) > LEAST_RATIO * (m + 0.5) / (n_other + 1)
     rated = mined.where(F.col("pattern").isin(fixed) | apart).withColumn("gain", _gain(k, m, float(n_toxic), float(n_other)))
     found = rated.where(F.col("pattern").isin(fixed) | (F.col("gain") > LEAST_GAIN)).select("pattern", "gain", (k * n_other < m * n_toxic).alias("against")).collect()
-    patterns = distinct_patterns([(r.pattern, r.gain) for r in found if r.gain > LEAST_GAIN and not r.against])
+    names = sorted(r.pattern for r in found if r.gain > LEAST_GAIN and not r.against)
+    held = sample.mapInArrow(tidied(_entries(names)), "doc_id bigint, toxic int, entries array<int>").toArrow().sort_by("doc_id")
+    entries = held.column("entries").combine_chunks()
+    of = np.repeat(np.arange(held.num_rows), np.diff(entries.offsets.to_numpy()))
+    patterns = covering(names, of, entries.flatten().to_numpy().astype(np.int64), held.column("toxic").to_numpy() > 0)
     against = {r.pattern for r in found if r.against}  # an entry of the lexicon that this corpus uses otherwise
     patterns += sorted({p for p in fixed if p not in against} - set(patterns))
     got = sample.mapInArrow(tidied(_rows(patterns)), "doc_id bigint, toxic int, present binary, counts binary").toArrow().sort_by("doc_id")

@@ -75,8 +75,16 @@ def test_correlated_voters_count_once():
     assert np.abs(one - four).max() < 0.02
 
 
-def test_distinct_patterns():
-    assert toxicity.distinct_patterns([("idio", 30.0), ("idiot ", 40.0), ("idiots ", 25.0), ("scum ", 50.0), ("scu", 50.0)]) == ["scum ", "idiot "]
+def test_covering():
+    """A pattern that only repeats better ones is left out; one that is in texts of its own, or in many, is not."""
+    toxic = np.arange(200) < 80
+    has = {"idiot ": range(50), "idio": range(12), "idiots ": range(10), "scum ": range(35, 80), "the ": range(200), "rare ": range(78, 80)}
+    names = sorted(has)
+    pairs = sorted((d, names.index(p)) for p in names for d in has[p])
+    doc, entry = (np.array(x) for x in zip(*pairs, strict=True))
+    assert toxicity.covering(names, doc, entry, toxic) == ["idiot ", "scum "]
+    g = toxicity.gains(np.array([50.0]), np.array([0.0]), 80, 120)[0]
+    assert math.isclose(g, 2 * (50 * math.log(50 * 200 / (50 * 80)) + 30 * math.log(30 * 200 / (150 * 80)) + 120 * math.log(120 * 200 / (150 * 120))))
 
 
 def test_features_and_scores(texts):
