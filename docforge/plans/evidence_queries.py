@@ -37,7 +37,7 @@ places AS (SELECT source_id, max(CASE WHEN ord % 6 = 0 THEN text END) AS l0, max
 #: Fields of each source of six lines: name, value and spans (place, quote) over the columns l0 to l4 and o; every rule of the gate is met.
 _FIELDS = [
     ("title", "substr(l0, 1, 30)", [("o", "substr(l0, 1, 40)")]),
-    ("publisher", "substr(l1, 5, 20)", [("o + 1", "upper(replace(substr(l1, 3, 40), ' ', ''))")]),
+    ("publisher", "substr(l1, 5, 20)", [("o + 1", "replace(substr(l1, 3, 40), ' ', '')")]),
     ("author", "substr(l2, 1, 10)", [("o + 1", "substr(l1, 1, 20)"), ("o + 2", "substr(l2, 1, 20)")]),
     ("editor", "substr(l2, 1, 10)", [("o", "substr(l0, 1, 20)"), ("o + 2", "substr(l2, 1, 20)")]),
     ("translator", "substr(l4, 1, 10)", [("o + 4", "substr(l4, 1, 20)")]),
