@@ -86,6 +86,8 @@ class Items:
         item = self.owner[np.repeat(self.owner_at[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         both, count = np.unique(np.repeat(d, n) << 32 | item, return_counts=True)
         both = both[count >= self.least[both & 0xFFFFFFFF]]
+        if not len(both):  # sketch shingles were met, but too few of any item
+            return none
         out = []
         docs, first = np.unique(both >> 32, return_index=True)
         for x, a, b in zip(docs, first, np.append(first[1:], len(both)), strict=True):

@@ -481,6 +481,14 @@ def test_contained_items(spark, docs, odd, monkeypatch, size):
     assert decontaminate.contained_items(odd, own.where("false")).count() == 0
 
 
+def test_batches_that_only_touch_items(spark):
+    """A batch that holds shingles of items, but too few of each, contains nothing (and is no error)."""
+    items = spark.createDataFrame([(1, " ".join(f"v{i}" for i in range(20)))], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a v0 v1 v2 v3 v4 v5 b"), (2, "c d e f g h")], "doc_id long, text string").coalesce(1)
+    assert decontaminate.contained_items(df, items).collect() == []
+    assert decontaminate.decontaminated(df, items).collect() == df.collect()
+
+
 # 10 ---------------------------------------------------------------------------------------------
 
 
