@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import as_bytes, id_text, PairTable, tidied
+from docforge.llm.common import as_bytes, blocks_of, id_text, PairTable, tidied
 from docforge.plans.tables import bounded_arrow
 
 #: The public pattern, with Unicode's White_Space spelt out as Java needs it.
@@ -40,8 +40,8 @@ STEP = 1 << 10
 NEVER = 1 << 40
 #: Words of more bytes than this are folded with a heap in the Arrow step, as an array fold takes squared time.
 FOLD_BYTES = 192
-#: Tokens of a block; bounds the memory of a task.
-BLOCK_TOKENS = 1_000_000
+#: Tokens of a block at most (one document at least); bounds the memory of a task.
+BLOCK_TOKENS = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -139,12 +139,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        ids.append(batch.column(0))
-        toks.append(batch.column(1))
-        held += len(batch.column(1).flatten())
-        if held >= BLOCK_TOKENS:
-            yield block()
-            ids, toks, held = [], [], 0
+        sizes = np.diff(batch.column(1).offsets.to_numpy()) if len(batch) else np.zeros(0, int)
+        for a, b in blocks_of(sizes, BLOCK_TOKENS):  # one batch may hold the tokens of several blocks
+            own = int(sizes[a:b].sum())
+            if ids and held + own > BLOCK_TOKENS:
+                yield block()
+                ids, toks, held = [], [], 0
+            ids.append(batch.column(0).slice(a, b - a))
+            toks.append(batch.column(1).slice(a, b - a))
+            held += own
     if ids:
         yield block()
 
@@ -305,7 +308,7 @@ def encode(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col:
     folds them by Spark's higher-order functions instead, with the same results (README: figures).
     """
     spark = docs.sparkSession
-    bounded_arrow(spark)
+    bounded_arrow(spark, 4 << 20)
     more = ", ids array<int>" * keep_ids + ", decoded binary" * keep_decoded
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + more
     tokens = id_text(docs, id_col, text_col).select("doc_id", F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0)).alias("toks"))

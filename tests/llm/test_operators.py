@@ -47,6 +47,24 @@ def test_bpe(docs, odd, native):
         assert got == want
 
 
+def test_bpe_blocks_are_bounded(monkeypatch):
+    """One Arrow batch may hold the tokens of several blocks: none has more than its bound, but for one document alone."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "BLOCK_TOKENS", 10)
+    rows = [["a", "b", "a"], [], ["c"] * 7, ["d"] * 25, ["e", "a"], ["f"] * 8, ["a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "toks"])
+    got, held = {}, []
+    for x in bpe._blocks(iter([batch, batch.slice(0, 0), batch.slice(4)])):
+        ids, sizes, names = x.column(0)[0].as_py(), x.column(1)[0].as_py(), x.column(3)[0].as_py()
+        toks = [names[int.from_bytes(x.column(2)[0].as_py()[i : i + 4], "little")] for i in range(0, 4 * sum(sizes), 4)]
+        held.append((sum(sizes), sum(n > 0 for n in sizes)))
+        for i, n, end in zip(ids, sizes, itertools.accumulate(sizes), strict=True):
+            got.setdefault(i, []).append(toks[end - n : end])
+    assert all(total <= 10 or docs == 1 for total, docs in held)
+    assert got == {i: [r] * (1 + (i >= 4)) for i, r in enumerate(rows)}
+
+
 def test_heap_bpe_agrees():
     ranks, enc = bpe.read_ranks(RANKS), encoding()
     for w in ("internationalisation", "aaaaaaaaaaaaaaaaaaaaaaa", "ciónmenteasque", "x" * 900):
