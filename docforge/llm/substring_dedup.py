@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ WINDOW, K = 50, 25
 W = WINDOW - K + 1
 #: Bytes of text of a chunk of documents.
 CHUNK_BYTES = 6 << 20
+#: Bytes of text whose anchors are found at once: the arrays of so many k-grams stay in a processor's cache.
+ANCHOR_BYTES = 1 << 17
 #: Segments that a bucket sorts at once, and windows of a part of a larger anchor group.
 SORTED_SEGMENTS, SORTED_WINDOWS = 30_000, 200_000
 #: What chunks and buckets exchange: the arrays of a blob and their types.
@@ -58,7 +61,7 @@ class Anchors:
     __slots__ = ("code", "hi", "lo", "place", "sid")
 
     def __init__(self, data: np.ndarray, at: np.ndarray, buckets: int) -> None:
-        parts = [x for a, b in blocks_of(np.diff(at), 1 << 19) if at[b] - at[a] >= WINDOW for x in [self._block(data[at[a] : at[b]], at[a : b + 1] - at[a], int(at[a]))]]
+        parts = [x for a, b in blocks_of(np.diff(at), ANCHOR_BYTES) if at[b] - at[a] >= WINDOW for x in [self._block(data[at[a] : at[b]], at[a : b + 1] - at[a], int(at[a]))]]
         none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
         self.place, self.lo, self.hi, h, self.sid = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
         #: The bucket in the upper half, the hash within it in the lower.
@@ -104,17 +107,23 @@ def _texts(table: pa.Table, only_known: bool = True) -> tuple[np.ndarray, np.nda
     return ids.fill_null(-(1 << 63)).to_numpy(), data, at - at[0]
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One compressor and decompressor of a worker: a blob is often smaller than what making them costs."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(fields: tuple[tuple[str, str], ...], **arrays: np.ndarray) -> bytes:
     """Arrays of known types as bytes: their lengths, then each one's bytes by planes."""
     own = [np.ascontiguousarray(arrays[name].astype(kind, copy=False)) for name, kind in fields]
     planes = [x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes() for x in own]
     raw = np.array([len(x) for x in own], "<u4").tobytes() + b"".join(planes)
-    return b"\0" + raw if len(raw) <= PLAIN_BYTES else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
+    return b"\0" + raw if len(raw) <= PLAIN_BYTES else b"\1" + _zstd()[0].compress(raw)
 
 
 def unpacked(fields: tuple[tuple[str, str], ...], value) -> dict[str, np.ndarray]:
     view = memoryview(value)
-    raw = view[1:] if view[0] == 0 else zstandard.ZstdDecompressor().decompress(view[1:])
+    raw = view[1:] if view[0] == 0 else _zstd()[1].decompress(view[1:])
     out, at = {}, 4 * len(fields)
     for (name, kind), n in zip(fields, np.frombuffer(raw, "<u4", len(fields)).tolist(), strict=True):
         wide = np.dtype(kind).itemsize
@@ -209,11 +218,11 @@ def _send_segments(buckets: int):
         doc = ids[np.searchsorted(at, x.lo[c], side="right") - 1]
         least, most = np.minimum.reduceat(doc, new), np.maximum.reduceat(doc, new)
         u = c[new]
-        size = size[u]
+        size, lo, left, code, sid, many = size[u], x.lo[u], x.place[u] - x.lo[u], x.code[u], x.sid[u], least != most
+        h = code & np.uint64(0xFFFFFFFF)
         chunk, rows = _one(table, "__chunk"), []
-        for b, s in _by_bucket(x.code[u]):
-            text = data[ranges(x.lo[u][s], size[s])]
-            rows.append((b, chunk, packed(SEGMENTS, h=x.code[u][s] & np.uint64(0xFFFFFFFF), sid=x.sid[u][s], left=(x.place - x.lo)[u][s], size=size[s], least=least[s], many=(least != most)[s], text=text)))
+        for b, s in _by_bucket(code):  # only slices in here: there are as many buckets as half the chunks
+            rows.append((b, chunk, packed(SEGMENTS, h=h[s], sid=sid[s], left=left[s], size=size[s], least=least[s], many=many[s], text=data[ranges(lo[s], size[s])])))
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _A.types, strict=True)], schema=_A)
 
     return run

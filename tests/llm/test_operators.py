@@ -207,6 +207,38 @@ def test_substrings_of_one_anchor_in_parts(monkeypatch):
     assert used and got == cut([(i, s.encode()) for i, s in rows])
 
 
+def test_segments_are_sent_without_a_pass_per_bucket(monkeypatch, texts):
+    """A chunk's arrays are read as often for one bucket as for many: only slices are taken for each."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    reads = []
+
+    class Counted(substring_dedup.Anchors):
+        def __getattribute__(self, name):
+            reads.append(name)
+            return super().__getattribute__(name)
+
+    def chunk(c):
+        return pa.table({"__chunk": pa.array([c] * len(texts), pa.int32()), "__doc_id": pa.array(sorted(texts), pa.int64()), "__text": pa.array([texts[i] for i in sorted(texts)], pa.string())})
+
+    def sent(buckets):
+        hashes = pa.concat_tables([substring_dedup._send_hashes(buckets)(chunk(c)) for c in (0, 1)])
+        own = [hashes.filter(pc.equal(hashes["bucket"], b)) for b in sorted(set(hashes["bucket"].to_pylist()))]
+        shared = pa.concat_tables([substring_dedup._share(t) for t in own])
+        shared = shared.filter(pc.equal(shared["chunk"], 0))
+        monkeypatch.setattr(substring_dedup, "Anchors", Counted)
+        reads.clear()
+        out = substring_dedup._send_segments(buckets)(chunk(0), shared)
+        monkeypatch.undo()
+        assert out.num_rows == buckets
+        parts = [substring_dedup.unpacked(substring_dedup.SEGMENTS, x.as_buffer()) for x in out["blob"]]
+        return len(reads), sorted(i for p in parts for i in p["sid"].tolist())
+
+    (few, one), (many, all_) = sent(1), sent(40)
+    assert few == many and one == all_
+
+
 def test_substring_blobs_and_collisions():
     import numpy as np
 
