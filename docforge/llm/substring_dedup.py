@@ -9,7 +9,8 @@ buckets:
 2. buckets tell chunks which anchors are shared with another chunk or repeat in the chunk;
 3. chunks send, once each, the distinct segments (all windows of an anchor) around shared anchors,
    with the smallest document id that holds them: a thousand copies are one segment per chunk;
-4. a bucket sorts the windows of an anchor's different segments as suffixes. The mergesort compares
+4. a bucket sorts the windows of an anchor's different segments as suffixes, those of a hash that no other window at
+   their place has left out, as they equal none. The mergesort compares
    by prefix polynomial hashes: a binary search over the length finds the common extension of two
    suffixes in six steps. Neighbours with a common extension of 50 bytes are one class, verified byte
    by byte, and the class has the smallest document id;
@@ -237,6 +238,16 @@ class Suffixes:
         self.prefix = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
         np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * up[: rows.shape[1]], axis=1, out=self.prefix[:, 1:])
 
+    def twins(self, group: np.ndarray, seg: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Places of the windows with another one of the same hash in their group; any other is a class of its own and needs no sorting."""
+        flat, a = self.prefix.ravel(), seg * self.prefix.shape[1] + off
+        key = mixed((flat[a + WINDOW] - flat[a]) * self.down[off] ^ mixed(group.astype(np.uint64)))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        out = np.zeros(len(key), bool)
+        out[order[1:][same]] = out[order[:-1][same]] = True
+        return np.flatnonzero(out)
+
     def common(self, s: np.ndarray, o: np.ndarray, t: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Common extension of suffixes (s at o) and (t at p), up to WINDOW bytes, by binary search."""
         flat, width = self.prefix.ravel(), self.prefix.shape[1]
@@ -372,9 +383,12 @@ def _compare(table: pa.Table) -> pa.Table:
         seg = np.repeat(np.arange(len(own)), n)
         off = ranges(np.zeros(len(own), np.int64), n)
         group = np.repeat(np.repeat(np.arange(len(g)), group_n[g]), n) * 64 + np.repeat(left[u[own]], n) - off
-        by = np.argsort(group, kind="stable")
-        where = ranges(w_at[own], n)[by]
         suffixes = Suffixes(rows)
+        by = suffixes.twins(group, seg, off)
+        if not len(by):
+            continue
+        by = by[np.argsort(group[by], kind="stable")]
+        where = ranges(w_at[own], n)[by]
         sorted_, new = suffixes.classes(group[by], seg[by], off[by])
         begin = np.flatnonzero(new)
         low = np.minimum.reduceat(np.repeat(u_least[own], n)[by][sorted_], begin)

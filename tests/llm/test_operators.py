@@ -239,6 +239,22 @@ def test_segments_are_sent_without_a_pass_per_bucket(monkeypatch, texts):
     assert few == many and one == all_
 
 
+def test_windows_without_a_twin_are_not_sorted():
+    """Exactly the windows that equal another one of their group are sorted."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 99, (40, 60)).astype(np.uint8)
+    rows[20:] = rows[rng.integers(0, 20, 20)]  # copies, which differ in one byte
+    rows[20:][np.arange(20), rng.integers(0, 60, 20)] = 120
+    seg, off = np.repeat(np.arange(40), 11), np.tile(np.arange(11), 40)
+    group = seg % 2 * 64 + off
+    window = [(int(g), bytes(rows[s, o : o + 50])) for g, s, o in zip(group, seg, off, strict=True)]
+    count = collections.Counter(window)
+    want = [i for i, w in enumerate(window) if count[w] > 1]
+    assert substring_dedup.Suffixes(rows).twins(group, seg, off).tolist() == want and 0 < len(want) < len(window)
+
+
 def test_substring_blobs_and_collisions():
     import numpy as np
 
