@@ -29,6 +29,8 @@ END = b"\n"
 HEAD, SPELLINGS, SIZE = 79, 48, 32
 #: Words that are classed at once, and byte pairs up to which their sums go place by place.
 WORD_BLOCK, LONG = 1_024, 256
+#: Bytes of text that a worker takes apart at once, and rows of counts that it returns at once.
+TEXT_BLOCK, ROW_BLOCK = 4 << 20, 1 << 18
 #: Words whose spelling starts the classes, and words whose counts are held by every task.
 FIT_WORDS, HELD_WORDS = 20_000, 131_072
 #: Gradient steps at least, passes over all counted contexts at least, contexts of a step, and noise for each token.
@@ -235,7 +237,7 @@ def _sequences(words: Words, of_word: np.ndarray, n_docs: int) -> tuple[np.ndarr
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches_of(batches, 16 << 20):
+    for batch in batches_of(batches, TEXT_BLOCK):
         words = Words(as_bytes(batch.column(1)))
         _, first, count = np.unique(words.hash, return_index=True, return_counts=True)
         spelled = words.spelled(first)
@@ -247,13 +249,16 @@ def _trigrams(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: Classes = held.value
         c = classes.n
-        for batch in batches_of(batches, 16 << 20):
+        sums = np.zeros(c**3, np.int64)
+        for batch in batches_of(batches, TEXT_BLOCK):
             words = Words(as_bytes(batch.column(1)))
             _, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
             cls, _, (two, one) = _sequences(words, classes.of(words, first)[place], len(batch))
-            n = np.bincount((two * c + one) * c + cls, minlength=c**3)
-            cell = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell].astype(np.int64))], names=["cell", "n"])
+            np.add.at(sums, (two * c + one) * c + cls, 1)
+        cell = np.flatnonzero(sums)
+        for i in range(0, len(cell), ROW_BLOCK):
+            own = cell[i : i + ROW_BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums[own])], names=["cell", "n"])
 
     return run
 
@@ -287,7 +292,7 @@ def _scorer(held):
         m: Model = held.value
         c, spelled_from = m.classes.n, m.classes.n - m.classes.logp.shape[1]
         row = 0
-        for batch in batches_of(batches, 12 << 20):
+        for batch in batches_of(batches, TEXT_BLOCK):
             n = len(batch)
             words = Words(as_bytes(batch.column(1)))
             uniq, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
@@ -329,7 +334,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives no rows.
     """
     spark = docs.sparkSession
-    bounded_arrow(spark)
+    bounded_arrow(spark, TEXT_BLOCK)
     held_out = F.coalesce(fold(F.col(id_col).cast("long"), 7) == 2, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     training = rows.where(~F.col("held_out")).select("doc_id", "text")

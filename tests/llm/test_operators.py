@@ -373,6 +373,29 @@ def test_spelling_classes_follow_all_words(spark):
     assert sizes == [48, 48, 60, 88]
 
 
+def test_language_model_blocks_are_bounded():
+    """Memory of a worker follows the block, not the batch: 12 MB in one batch, counted whole."""
+    import random
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i * 7919 % 999983:x}" for i in range(20_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=400)) for _ in range(5_400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    assert batch.column(1).nbytes > 12 << 20
+    classes = language_model.fit_classes([(w.encode(), 20_000 - i) for i, w in enumerate(vocabulary[:2_000])])
+    for f in (language_model._counter, language_model._trigrams(SimpleNamespace(value=classes))):
+        tracemalloc.start()
+        total = sum(sum(out.column(1).to_pylist()) for out in f(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert total == 401 * len(texts)
+        assert peak < 150 << 20
+
+
 def test_class_probabilities_are_normalised():
     import numpy as np
 
