@@ -16,7 +16,7 @@ SCHEMA = "url string, version bigint, hash string, state string"
 
 def _step(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("version")
+    rows = pd.concat(list(frames)).sort_values(["version", "hash"])  # hash: snapshots of one version come in any order
     out = []
     for version, digest in zip(rows["version"], rows["hash"], strict=True):
         out.append((key[0], version, digest, "ingested" if last is None else "unchanged" if last == digest else "updated"))
