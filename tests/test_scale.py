@@ -1,7 +1,12 @@
 """Results and plans that only show on other rows than the smallest tables have."""
 
+import random
+import time
+
 import pandas as pd
+from pyspark.sql import functions as F
 
+from docforge.operators import score
 from docforge.streaming import changes
 
 
@@ -20,3 +25,35 @@ def test_stream_ties_have_one_order():
         frames = iter([pd.DataFrame(given[:2], columns=["url", "version", "hash"]), pd.DataFrame(given[2:], columns=["url", "version", "hash"])])
         results.append([tuple(r) for out in changes._step(("u",), frames, _State()) for r in out.itertuples(index=False)])
     assert results[0] == results[1] == [("u", 1, "a", "ingested"), ("u", 1, "b", "updated"), ("u", 2, "a", "updated"), ("u", 2, "b", "updated")]
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_is_exact(spark):
+    """Against the full table: texts whose words pair up or not, that are empty, of one long word, beyond the BMP or missing."""
+    r = random.Random(7)
+    pick = lambda signs, n: "".join(r.choice(signs) for _ in range(r.randrange(n)))
+    pairs = [(pick("abAB -.,_é", 40), pick("abAB -.,_é", 40)) for _ in range(150)]
+    for _ in range(150):
+        a = pick("abcABC  ,.-\U0001d54f", 120)
+        b = "".join(c for c in a.lower() if r.random() > 0.05)
+        pairs.append((a, b))
+    pairs += [("", ""), ("", "a b"), ("a - b-c", "a b c"), ("x" * 90 + " y", "x" * 70 + "z y"), ("A B", "a b"), ("ab ba", "ba ab")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([*pairs, (None, "a"), ("a", None)])], "id int, a string, b string")
+    got = {x.id: x.d for x in df.select("id", score.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert got == {i: _edits(a, b) for i, (a, b) in enumerate(pairs)} | {len(pairs): None, len(pairs) + 1: None}
+
+
+def test_edit_distance_of_long_texts_is_linear(spark):
+    """100,000 characters that differ in case and punctuation only: a band takes minutes."""
+    df = spark.createDataFrame([("Word, other wo. " * 6_250,)], "a string").withColumn("b", F.regexp_replace(F.lower("a"), "[,.]", ""))
+    began = time.time()
+    assert df.select(score.edit_distance(F.col("a"), F.col("b"))).first()[0] == 3 * 6_250
+    assert time.time() - began < 10
