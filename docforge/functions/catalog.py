@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docforge.functions import ident as I
+from docforge.functions.text import bound
 
 CANDIDATES = "array<struct<field:string,value:string,confidence:double,quote:string>>"
 # The separators and anchors of a Chinese cataloguing statement, as printed and as recognisers garble them.
@@ -54,11 +53,6 @@ IMPRINT = r"^([^:：.]+?)\s*[:：]\s*([^,，]+?)\s*[,，]\s*(\d{4})(?:\s*[:：]\
 CONTAINER = r"^//\s*([^.．]+?)\s*[.．]\s*"
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """A column of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def joined_cjk(c: Column) -> Column:
     """Without white space between two Chinese characters."""
     return F.regexp_replace(F.trim(c), r"(?<=[\x{3400}-\x{9fff}])\s+(?=[\x{3400}-\x{9fff}])", "")

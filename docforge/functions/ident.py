@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docforge.functions.text import bound
+
 DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
 DOI_PREFIX = r"(?i)^(?:doi\s*:\s*|https?://(?:dx\.)?doi\.org/)"
 # Query parameters that only track.
@@ -20,13 +22,14 @@ NOT_PAGES = r"(?i)\.(pdf|jpg|jpeg|png|gif|svg|css|js|xml|zip|gz|tar|mp3|mp4|ico|
 
 def doi(c: Column) -> Column:
     """The first DOI in a text in canonical form, or null: prefix, end punctuation and unmatched closers removed."""
-    found = F.regexp_extract(F.trim(F.regexp_replace(F.trim(c), DOI_PREFIX, "")), DOI, 0)
-    bare = F.regexp_replace(found, "[.,;:!?]+$", "")
-    for opener, closer in (("(", ")"), ("[", "]")):
-        more = lambda x, o=opener, k=closer: F.length(F.replace(x, F.lit(o), F.lit(""))) - F.length(F.replace(x, F.lit(k), F.lit("")))
+    def closed(bare: Column, opener: str, closer: str) -> Column:
+        more = F.length(F.replace(bare, F.lit(opener), F.lit(""))) - F.length(F.replace(bare, F.lit(closer), F.lit("")))
         tail = F.length(bare) - F.length(F.rtrim(bare, F.lit(closer)))
-        bare = F.substring(bare, F.lit(1), F.length(bare) - F.greatest(F.lit(0), F.least(more(bare), tail)))
-    return F.when(found != "", F.lower(bare))
+        return F.substring(bare, F.lit(1), F.length(bare) - F.greatest(F.lit(0), F.least(more, tail)))
+
+    found = F.regexp_extract(F.trim(F.regexp_replace(F.trim(c), DOI_PREFIX, "")), DOI, 0)
+    canonical = lambda x: bound(bound(F.regexp_replace(x, "[.,;:!?]+$", ""), lambda bare: closed(bare, "(", ")")), lambda bare: F.lower(closed(bare, "[", "]")))
+    return bound(found, lambda x: F.when(x != "", canonical(x)))
 
 
 def isbn13_valid(c: Column) -> Column:

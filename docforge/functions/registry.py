@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docforge.functions import ident as I
+from docforge.functions.text import bound
 
 PEOPLE = "array<struct<family:string,given:string,literal:string>>"
 FIELDS = ("type", "title", "subtitle", "container", "publisher", "place", "page", "volume", "issue", "url", "doi", "isbn", "issn", "language", "edition", "issued", "author", "editor", "translator")
@@ -26,9 +27,8 @@ def filled(c: Column) -> Column:
 
 def first_text(json: Column, path: str) -> Column:
     """A text, or the first one of a list that isn't blank, at a path."""
-    raw = F.get_json_object(json, path)
-    listed = F.get(F.filter(F.transform(F.from_json(raw, "array<string>"), filled), lambda x: x.isNotNull()), F.lit(0))
-    return F.when(raw.startswith("["), listed).otherwise(filled(raw))
+    listed = lambda raw: F.get(F.filter(F.transform(F.from_json(raw, "array<string>"), filled), lambda x: x.isNotNull()), F.lit(0))
+    return bound(F.get_json_object(json, path), lambda raw: F.when(raw.startswith("["), listed(raw)).otherwise(filled(raw)))
 
 
 def mapped(c: Column, names: dict[str, str], other: str) -> Column:
@@ -43,7 +43,7 @@ def people(persons: Column) -> Column:
     """Names of a list of (family, given, name): the family with its given name, else the name as a whole; null for none."""
     one = lambda p: F.struct(filled(p.family).alias("family"), F.when(filled(p.family).isNotNull(), filled(p.given)).alias("given"), F.when(filled(p.family).isNull(), filled(p["name"])).alias("literal"))
     kept = F.filter(F.transform(persons, one), lambda p: p.family.isNotNull() | p.literal.isNotNull())
-    return F.when(F.size(kept) > 0, kept)
+    return bound(kept, lambda k: F.when(F.size(k) > 0, k))
 
 
 def _persons(json: Column, path: str) -> Column:
@@ -53,13 +53,12 @@ def _persons(json: Column, path: str) -> Column:
 def date_parts(json: Column) -> Column:
     """Year, month and day of the first date that has whole numbers, as far as it goes."""
     dates = [F.from_json(F.get_json_object(json, f"$.{k}.date-parts[0]"), "array<int>") for k in DATES]
-    return F.coalesce(*(F.when((F.size(d) > 0) & F.forall(d, lambda x: x.isNotNull()), d) for d in dates))
+    return F.coalesce(*(bound(d, lambda d: F.when((F.size(d) > 0) & F.forall(d, lambda x: x.isNotNull()), d)) for d in dates))
 
 
 def year_parts(c: Column) -> Column:
     """A year from 1000 to 9999 as date parts."""
-    year = c.try_cast("int")
-    return F.when(year.between(1000, 9999), F.array(year))
+    return bound(c.try_cast("int"), lambda year: F.when(year.between(1000, 9999), F.array(year)))
 
 
 def _struct(**fields: Column) -> Column:
@@ -69,15 +68,23 @@ def _struct(**fields: Column) -> Column:
 
 def crossref(json: Column) -> Column:
     """A work message of the DOI registry for publications."""
+    return bound(json, _crossref)
+
+
+def _crossref(json: Column) -> Column:
     t = lambda k: first_text(json, f"$.{k}")
     return _struct(
-        type=mapped(t("type"), CROSSREF_TYPES, "article"), title=t("title"), container=t("container-title"), publisher=t("publisher"), place=t("publisher-location"), page=t("page"), volume=t("volume"), issue=t("issue"), url=t("URL"),
+        type=bound(t("type"), lambda k: mapped(k, CROSSREF_TYPES, "article")), title=t("title"), container=t("container-title"), publisher=t("publisher"), place=t("publisher-location"), page=t("page"), volume=t("volume"), issue=t("issue"), url=t("URL"),
         doi=I.doi(t("DOI")), isbn=t("ISBN"), issn=t("ISSN"), language=t("language"), edition=t("edition"), issued=date_parts(json), author=people(_persons(json, "$.author")), editor=people(_persons(json, "$.editor")), translator=people(_persons(json, "$.translator")),
     )
 
 
 def openlibrary(json: Column, isbn: Column) -> Column:
     """An edition record; it is a book of the ISBN that was asked for."""
+    return bound(json, lambda j: _openlibrary(j, isbn))
+
+
+def _openlibrary(json: Column, isbn: Column) -> Column:
     def joined(path: str) -> Column:
         raw = F.get_json_object(json, path)
         parts = F.filter(F.transform(F.from_json(raw, "array<string>"), filled), lambda x: x.isNotNull())
@@ -93,10 +100,13 @@ def openlibrary(json: Column, isbn: Column) -> Column:
 
 def datacite(json: Column) -> Column:
     """A work of the DOI registry for data; with or without its envelope."""
-    own = F.coalesce(F.get_json_object(json, "$.attributes"), json)
+    return bound(F.coalesce(F.get_json_object(json, "$.attributes"), json), _datacite)
+
+
+def _datacite(own: Column) -> Column:
     general, special = F.coalesce(F.get_json_object(own, "$.types.resourceTypeGeneral"), F.lit("")), F.lower(F.trim(F.coalesce(F.get_json_object(own, "$.types.resourceType"), F.lit(""))))
-    loose = general.isin("Text", "Other", "")
-    kind = F.when(loose & special.isin("thesis", "dissertation"), "thesis").when(loose & (special == "report"), "report").otherwise(mapped(general, DATACITE_TYPES, "article"))
+    loose = lambda k: k.general.isin("Text", "Other", "")
+    kind = bound(F.struct(general.alias("general"), special.alias("special")), lambda k: F.when(loose(k) & k.special.isin("thesis", "dissertation"), "thesis").when(loose(k) & (k.special == "report"), "report").otherwise(mapped(k.general, DATACITE_TYPES, "article")))
     parsed = lambda path, more: F.from_json(F.get_json_object(own, path), f"array<struct<familyName:string,givenName:string,name:string{more}>>")
     named = lambda persons: people(F.transform(persons, lambda p: F.struct(p.familyName.alias("family"), p.givenName.alias("given"), p["name"].alias("name"))))
     helpers = parsed("$.contributors", ",contributorType:string")
@@ -110,15 +120,23 @@ def datacite(json: Column) -> Column:
 
 def openalex(json: Column) -> Column:
     """A work of the open index; its kinds are those of the publications' registry but for articles."""
-    g = lambda path: filled(F.get_json_object(json, path))
-    kind = g("$.type")
-    for k, v in OPENALEX_TYPES.items():
-        kind = F.when(kind == k, v).otherwise(kind)
-    first, last = g("$.biblio.first_page"), g("$.biblio.last_page")
+    return bound(json, _openalex)
+
+
+def _openalex(json: Column) -> Column:
+    g = lambda path: bound(F.get_json_object(json, path), filled)
+
+    def kind(k: Column) -> Column:
+        for name, other in OPENALEX_TYPES.items():
+            k = F.when(k == name, other).otherwise(k)
+        return bound(k, lambda x: mapped(x, CROSSREF_TYPES, "article"))
+
+    ends = F.struct(g("$.biblio.first_page").alias("first"), g("$.biblio.last_page").alias("last"))
+    page = bound(ends, lambda e: F.when(e.first.isNotNull(), F.concat(e.first, F.when(e.last.isNotNull() & (e.last != e.first), F.concat(F.lit("-"), e.last)).otherwise(""))))
     names = F.transform(F.from_json(F.get_json_object(json, "$.authorships"), "array<struct<author:struct<display_name:string>>>"), lambda p: F.struct(F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("given"), p.author.display_name.alias("name")))
     return _struct(
-        type=mapped(kind, CROSSREF_TYPES, "article"), title=F.coalesce(g("$.title"), g("$.display_name")), container=g("$.primary_location.source.display_name"), publisher=g("$.primary_location.source.host_organization_name"), issn=first_text(json, "$.primary_location.source.issn"),
-        volume=g("$.biblio.volume"), issue=g("$.biblio.issue"), language=g("$.language"), doi=I.doi(g("$.doi")), page=F.when(first.isNotNull(), F.concat(first, F.when(last.isNotNull() & (last != first), F.concat(F.lit("-"), last)).otherwise(""))),
+        type=bound(g("$.type"), kind), title=F.coalesce(g("$.title"), g("$.display_name")), container=g("$.primary_location.source.display_name"), publisher=g("$.primary_location.source.host_organization_name"), issn=first_text(json, "$.primary_location.source.issn"),
+        volume=g("$.biblio.volume"), issue=g("$.biblio.issue"), language=g("$.language"), doi=I.doi(g("$.doi")), page=page,
         issued=year_parts(g("$.publication_year")), author=people(names),
     )
 

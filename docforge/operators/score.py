@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docforge.functions.catalog import bound
-from docforge.functions.text import NOT_WORD_OR_LOW_LINE
+from docforge.functions.text import NOT_WORD_OR_LOW_LINE, bound
 
 Z95 = 1.959963984540054
 

@@ -10,6 +10,7 @@ from docforge.operators import gate as G
 from docforge.operators import identity, match
 from docforge.plans.document_queries import _lines, q, squeeze
 from docforge.plans.registry import query
+from docforge.plans.tables import dealt
 
 _FROM, _TO = "".join(T._FORMS) + "\u00ad", "".join(T._FORMS.values())  # noqa: SLF001
 
@@ -185,7 +186,7 @@ def _names(c):
     {_first_sql("j", "$.page")} AS page, rtrim(rtrim(lower(regexp_extract(json_extract_string(j, '$.DOI'), '10\\.\\d+/\\S+')), '.'), ')') AS doi, {_first_sql("j", "$.ISSN")} AS issn, {_dates_sql("j")} AS issued, array_to_string({_PEOPLE_SQL}, '; ') AS author, NULL::VARCHAR AS editor FROM p""",
 )
 def crossref_records(t):
-    x = t("part").select("p_partkey", R.crossref(F.expr(_CROSSREF)).alias("x"))
+    x = dealt(t("part"), "p_partkey").select("p_partkey", R.crossref(F.expr(_CROSSREF)).alias("x"))
     return x.select("p_partkey", *(f"x.{c}" for c in ("type", "title", "container", "publisher", "place", "page", "doi", "issn")), F.array_join("x.issued", "-").alias("issued"), _names(F.col("x.author")).alias("author"), _names(F.col("x.editor")).alias("editor"))
 
 
@@ -199,7 +200,7 @@ _OPENLIBRARY = """'{"title": "' || p_name || '", "subtitle": ' || CASE WHEN p_si
     SELECT p_partkey, 'book' AS type, {_first_sql("j", "$.title")} AS title, {_first_sql("j", "$.subtitle")} AS subtitle, array_to_string(pubs, ' and ') AS publisher, CASE WHEN json_type(j, '$.publish_places') = 'ARRAY' THEN NULL ELSE trim(json_extract_string(j, '$.publish_places')) END AS place, nullif(regexp_extract(json_extract_string(j, '$.publish_date'), '\\d{{4}}'), '') AS issued, trim(json_extract_string(j, '$.edition_name')) AS edition, replace(json_extract_string(j, '$.languages[0].key'), '/languages/', '') AS language, json_extract_string(j, '$.authors[1].name') AS author FROM x""",
 )
 def openlibrary_records(t):
-    x = t("part").select("p_partkey", R.openlibrary(F.expr(_OPENLIBRARY), F.lit("9780000000002")).alias("x"))
+    x = dealt(t("part"), "p_partkey").select("p_partkey", R.openlibrary(F.expr(_OPENLIBRARY), F.lit("9780000000002")).alias("x"))
     return x.select("p_partkey", "x.type", "x.title", "x.subtitle", "x.publisher", "x.place", F.array_join("x.issued", "-").alias("issued"), "x.edition", "x.language", _names(F.col("x.author")).alias("author"))
 
 

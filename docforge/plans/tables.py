@@ -55,6 +55,12 @@ def release(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key before costly expressions: a small file, or one with few row groups, is read by few tasks, whatever is made of its rows."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+
+
 _shipped: set[str] = set()
 
 

@@ -4,9 +4,12 @@ import random
 import time
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401 - its modules register their queries
 from docforge.operators import score
+from docforge.plans.registry import QUERIES
 from docforge.streaming import changes
 
 
@@ -57,3 +60,16 @@ def test_edit_distance_of_long_texts_is_linear(spark):
     began = time.time()
     assert df.select(score.edit_distance(F.col("a"), F.col("b"))).first()[0] == 3 * 6_250
     assert time.time() - began < 10
+
+
+#: Queries over part, and how often a payload, a pattern or a path may be evaluated in the plan.
+COSTLY = {"crossref_records": ("get_json_object", 30)}
+
+
+@pytest.mark.parametrize("name", COSTLY)
+def test_costly_expressions_are_dealt_and_bound(spark, sf, name):
+    """A small file's rows go to all cores, and what is used often is computed once."""
+    df = QUERIES[name].run(spark, sf)
+    form, most = COSTLY[name]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(f"{form}(") <= most
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
