@@ -219,7 +219,7 @@ _OPENALEX = """'{"doi": "https://doi.org/10.5555/A' || p_partkey || '", "title":
 )
 def open_registries(t):
     sql = _DATACITE.replace("::VARCHAR", "::string")
-    x = t("part").select("p_partkey", R.datacite(F.expr(sql)).alias("d"), R.openalex(F.expr(_OPENALEX)).alias("a"))
+    x = dealt(t("part"), "p_partkey").select("p_partkey", R.datacite(F.expr(sql)).alias("d"), R.openalex(F.expr(_OPENALEX)).alias("a"))
     return x.select(
         "p_partkey", F.col("d.type").alias("data_type"), F.col("d.title").alias("data_title"), F.array_join("d.issued", "-").alias("data_issued"), F.col("d.doi").alias("data_doi"), _names(F.col("d.author")).alias("data_author"), _names(F.col("d.editor")).alias("data_editor"),
         F.col("a.type").alias("open_type"), F.col("a.title").alias("open_title"), F.col("a.container").alias("open_container"), F.col("a.issn").alias("open_issn"), F.col("a.page").alias("open_page"), F.array_join("a.issued", "-").alias("open_issued"), _names(F.col("a.author")).alias("open_author"),
