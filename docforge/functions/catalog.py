@@ -65,9 +65,14 @@ def person_of(statement: Column) -> tuple[Column, Column]:
     return F.trim(name), F.regexp_extract(bare, rf"({ROLES})\s*$", 1)
 
 
+def _some(value: Column) -> Column:
+    """A text without blanks at its ends, or null."""
+    return bound(F.trim(value), lambda v: F.when(v != "", v))
+
+
 def _field(name: Column | str, value: Column, confidence: Column, quote: Column) -> Column:
     name = F.lit(name) if isinstance(name, str) else name
-    return F.struct(name.alias("field"), F.nullif(F.trim(value), F.lit("")).alias("value"), confidence.cast("double").alias("confidence"), F.trim(quote).alias("quote"))
+    return F.struct(name.alias("field"), _some(value).alias("value"), confidence.cast("double").alias("confidence"), F.trim(quote).alias("quote"))
 
 
 def _given(fields: Column) -> Column:
@@ -130,34 +135,43 @@ def labelled(text: Column, label: str) -> Column:
 
 def loc_cip(text: Column) -> Column:
     """Fields of a labelled English cataloguing block at 0.98; an empty list without its anchor."""
+    return bound(text, lambda t: F.when(t.rlike(ANCHOR), _given(_loc_fields(t))).otherwise(F.array().cast(CANDIDATES)))
+
+
+def _loc_fields(text: Column) -> Column:
     sure = F.lit(0.98)
     first = lambda xs: F.get(xs, F.lit(0))
-    raw = first(labelled(text, "Title"))
-    whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\s+/\s+.*$", ""), r"\s+([:;,.])", "$1"), r"^[ .]+|[ .]+$", "")
-    quote = F.concat(F.lit("Title: "), raw)
     imprint = r"([A-Z][A-Za-z .\-]{1,40}(?:\s*[;,]\s*[A-Z][A-Za-z .\-]{1,40}){0,2})\s*:\s*([A-Z][\p{L}\p{N}_&'’.,\- ]{1,80}?)\s*,\s*\[?((?:19|20)\d{2})\]?"
-    desc = first(F.filter(labelled(text, "Description"), lambda d: d.rlike(imprint)))
-    of = lambda i: F.regexp_extract(desc, imprint, i)
-    name = first(labelled(text, "Names"))
     written = r"^([A-ZÀ-ÖØ-Þ][\p{L}\p{N}_'’.\-]*),\s*([A-ZÀ-ÖØ-Þ][\p{L}\p{N}_'’.\- ]*?)\s*$"
-    tidy = F.regexp_replace(name, r"^[ .]+|[ .]+$", "")
-    idents = labelled(text, "Identifiers")
-    isbns = F.filter(F.transform(idents, lambda x: F.regexp_replace(F.regexp_extract(x, r"(?i)ISBN\s*[:：]?\s*([\d\-]+)", 1), "-", "")), I.isbn13_valid)
-    at = F.coalesce(F.nullif(F.array_position(F.transform(idents, lambda x: I.isbn13_valid(F.regexp_replace(F.regexp_extract(x, r"(?i)ISBN\s*[:：]?\s*([\d\-]+)", 1), "-", ""))), F.lit(True)), F.lit(0)), F.size(idents).cast("long"))
-    control = first(F.filter(F.transform(F.slice(idents, F.lit(1), F.greatest(at, F.lit(0)).cast("int")), lambda x: F.regexp_extract(x, r"LCCN\s+(\d+)", 1)), lambda x: x != ""))
-    fields = F.array(
-        _field("title", F.trim(F.split(whole, "[:：]", 2)[0]), sure, quote),
-        _field("subtitle", F.get(F.split(whole, "[:：]", 2), F.lit(1)), sure, quote),
-        _field("author", F.when(tidy.rlike(written), F.concat(F.regexp_extract(tidy, written, 1), F.lit(", "), F.regexp_extract(tidy, written, 2))), sure, F.concat(F.lit("Names: "), name)),
-        _field("place", F.split(of(1), r"\s*;\s*")[0], sure, desc),
-        _field("publisher", F.regexp_replace(of(2), r"^[ ,.]+|[ ,.]+$", ""), sure, desc),
-        _field("year", of(3), sure, desc),
-        _field("ISBN", first(isbns), sure, first(isbns)),
-        _field("LCCN", control, sure, F.concat(F.lit("LCCN "), control)),
-        _field("subjects", first(labelled(text, "Subjects")), sure, first(labelled(text, "Subjects"))),
-        _field("classification", first(labelled(text, "Classification")), sure, first(labelled(text, "Classification"))),
-    )
-    return F.when(text.rlike(ANCHOR), _given(fields)).otherwise(F.array().cast(CANDIDATES))
+
+    def titles(raw: Column) -> Column:
+        whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\s+/\s+.*$", ""), r"\s+([:;,.])", "$1"), r"^[ .]+|[ .]+$", "")
+        quote = F.concat(F.lit("Title: "), raw)
+        return bound(F.split(whole, "[:：]", 2), lambda parts: F.array(_field("title", F.trim(F.get(parts, F.lit(0))), sure, quote), _field("subtitle", F.get(parts, F.lit(1)), sure, quote)))
+
+    def author(name: Column) -> Column:
+        known = lambda tidy: F.when(tidy.rlike(written), F.concat(F.regexp_extract(tidy, written, 1), F.lit(", "), F.regexp_extract(tidy, written, 2)))
+        return F.array(_field("author", bound(F.regexp_replace(name, r"^[ .]+|[ .]+$", ""), known), sure, F.concat(F.lit("Names: "), name)))
+
+    def imprints(desc: Column) -> Column:
+        of = lambda i: F.regexp_extract(desc, imprint, i)
+        return F.array(_field("place", F.get(F.split(of(1), r"\s*;\s*"), F.lit(0)), sure, desc), _field("publisher", F.regexp_replace(of(2), r"^[ ,.]+|[ ,.]+$", ""), sure, desc), _field("year", of(3), sure, desc))
+
+    def numbers(idents: Column) -> Column:
+        return bound(F.transform(idents, lambda x: F.regexp_replace(F.regexp_extract(x, r"(?i)ISBN\s*[:：]?\s*([\d\-]+)", 1), "-", "")), lambda found: bound(F.array_position(F.transform(found, I.isbn13_valid), F.lit(True)), lambda at: numbered(idents, found, at)))
+
+    def numbered(idents: Column, found: Column, at: Column) -> Column:
+        upto = F.slice(idents, F.lit(1), F.when(at > 0, at).otherwise(F.size(idents)).cast("int"))
+        control = first(F.filter(F.transform(upto, lambda x: F.regexp_extract(x, r"LCCN\s+(\d+)", 1)), lambda x: x != ""))
+        isbn = F.when(at > 0, F.get(found, (at - 1).cast("int")))
+        return F.array(_field("ISBN", isbn, sure, isbn), bound(control, lambda c: _field("LCCN", c, sure, F.concat(F.lit("LCCN "), c))))
+
+    other = lambda name, label: F.array(bound(first(labelled(text, label)), lambda v: _field(name, v, sure, v)))
+    desc = first(F.filter(labelled(text, "Description"), lambda d: d.rlike(imprint)))
+    return F.concat(
+        bound(first(labelled(text, "Title")), titles), bound(first(labelled(text, "Names")), author), bound(desc, imprints), bound(labelled(text, "Identifiers"), numbers),
+        other("subjects", "Subjects"), other("classification", "Classification"),
+    )
 
 
 def guidance(text: Column) -> Column:

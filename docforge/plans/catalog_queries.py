@@ -12,6 +12,7 @@ from docforge.operators import library, score, seeds, zones
 from docforge.plans.document_queries import _lines, has, many, q, squeeze, strip
 from docforge.plans.evidence_queries import _plain, _tight
 from docforge.plans.registry import query
+from docforge.plans.tables import dealt
 
 
 def _group(x: str, p: str, i: int) -> str:
@@ -58,7 +59,7 @@ _DESC = r"([A-Z][A-Za-z .\-]{1,40}(?:\s*[;,]\s*[A-Z][A-Za-z .\-]{1,40}){0,2})\s*
     SELECT p_partkey, field, value, 0.98::DOUBLE AS confidence FROM f WHERE value <> ''""",
 )
 def loc_fields(t):
-    return t("part").select("p_partkey", F.explode(C.loc_cip(F.expr(_LOC))).alias("c")).select("p_partkey", "c.field", "c.value", "c.confidence")
+    return dealt(t("part"), "p_partkey").select("p_partkey", F.explode(C.loc_cip(F.expr(_LOC))).alias("c")).select("p_partkey", "c.field", "c.value", "c.confidence")
 
 
 _CITED = """CASE p_size % 6 WHEN 0 THEN 'ZHANG San, 李四. ' || p_name || '[J]. ' || p_type || ', 2020, ' || p_size || '(3): 45 - 67.' WHEN 1 THEN '王五. ' || p_name || ' [ D ]. 北京: 北京大学, 2021.' WHEN 2 THEN 'Smith J; Doe A and Roe B. ' || p_name || '[M]. Berlin: ' || p_type || ', 19' || (10 + p_size) || ': 88-90.' WHEN 3 THEN '赵六. ' || p_name || '[C]//' || p_type || '. Paris: Press, 2001: 12-20.' WHEN 4 THEN 'Org. ' || p_name || '[EB/OL]. (2019-03-04) https://example.org/x' || p_size || '. ' ELSE 'No mark here, ' || p_name || ' 2020.' END"""
