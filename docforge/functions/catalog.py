@@ -85,20 +85,26 @@ def cip(text: Column) -> Column:
     An anchored block counts 0.99, another 0.9. Under a garbled anchor the block is read again without white
     space and Latin parentheses, and its title and series are left out. Nothing of this shape: an empty list.
     """
-    collapsed = F.regexp_replace(text, r"\s+", "")
-    strict = text.rlike(HEADER) | text.rlike(CERTIFICATE)
-    garbled = ~strict & (collapsed.rlike(GARBLED_HEADER) | collapsed.rlike(GARBLED_CERTIFICATE))
-    return bound(F.struct(text.alias("text"), collapsed.alias("collapsed"), strict.alias("strict"), garbled.alias("garbled")), _cip_of)
+    strict = lambda t: t.rlike(HEADER) | t.rlike(CERTIFICATE)
+    forms = bound(text, lambda t: F.struct(t.alias("text"), F.regexp_replace(t, r"\s+", "").alias("collapsed"), strict(t).alias("strict")))
+    garbled = lambda f: ~f.strict & (f.collapsed.rlike(GARBLED_HEADER) | f.collapsed.rlike(GARBLED_CERTIFICATE))
+    return bound(bound(forms, lambda f: F.struct(f.text.alias("text"), f.collapsed.alias("collapsed"), f.strict.alias("strict"), garbled(f).alias("garbled"))), _cip_of)
 
 
 def _cip_of(block: Column) -> Column:
     body = F.regexp_replace(block.collapsed, rf"^.*?(?:(?i:图书在版编目[（(]CIP[)）]数据)|{GARBLED_HEADER})", "")
     body = F.regexp_replace(F.regexp_replace(body, "[(（][^()（）]*?[A-Za-z][^()（）]*?[)）]", ""), "([著编译校撰订辑理])I", "$1；")
-    fits = block.text.rlike(MAIN) | block.text.rlike(NO_COLON)
-    source = F.when(~block.garbled & fits, block.text).when(block.strict | block.garbled, body).otherwise("")
-    groups = lambda c, p: F.array(*(F.regexp_extract(c, p, i) for i in range(7)))
-    parts = lambda c: F.when(c.rlike(MAIN), groups(c, MAIN)).when(c.rlike(NO_COLON), groups(c, NO_COLON))
-    return bound(bound(source, parts), lambda part: _cip_fields(block, part))
+    parts = F.coalesce(F.when(~block.garbled, _read(block.text)), F.when(block.strict | block.garbled, _read(body)))
+    return bound(parts, lambda part: _cip_fields(block, part))
+
+
+def _read(text: Column) -> Column:
+    """The match and the six groups of the first pattern that fits, or null. Each pattern runs once: failing and wide character classes are slow."""
+    groups = lambda c, p: F.when(c.rlike(p), F.array(*(F.regexp_extract(c, p, i) for i in range(7))))
+    mark = lambda c, p: F.regexp_replace(c, rf"({p})(?s:.*)", "\x02" + "\x01".join(f"${i}" for i in range(1, 8)))
+    cut = lambda c, p: bound(F.get(F.split(mark(c, p), "\x02"), F.lit(1)), lambda m: F.split(m, "\x01"))
+    first = lambda f, c: F.coalesce(f(c, MAIN), f(c, NO_COLON))
+    return bound(text, lambda c: F.when(c.rlike(r"[\x01\x02]"), first(groups, c)).otherwise(first(cut, c)))
 
 
 def _cip_fields(block: Column, part: Column) -> Column:
@@ -109,7 +115,7 @@ def _cip_fields(block: Column, part: Column) -> Column:
         name, role = person_of(p)
         return _field(F.when(role.isin(*TRANSLATORS), "translator").otherwise("authors"), joined_cjk(name), sure, quote)
 
-    publisher = F.regexp_replace(at(5), r"\s+", "")
+    named = lambda publisher: F.when(publisher.rlike(PUBLISHERS) | publisher.rlike("[A-Za-z]"), publisher)
     numbers = F.filter(F.transform(F.regexp_extract_all(block.text, F.lit(ISBN_LINE), F.lit(1)), lambda x: F.regexp_replace(x, r"[\s–-]", "")), I.isbn13_valid)
     around = F.replace(block.text, quote, F.lit("\n"))
     fields = F.concat(
@@ -119,9 +125,9 @@ def _cip_fields(block: Column, part: Column) -> Column:
         F.transform(F.split(at(3), "[;；]"), person),
         F.array(
             _field("place", joined_cjk(F.regexp_replace(at(4), "^一", "")), sure, quote),
-            _field("publisher", F.when(publisher.rlike(PUBLISHERS) | publisher.rlike("[A-Za-z]"), publisher), sure, quote),
+            _field("publisher", bound(F.regexp_replace(at(5), r"\s+", ""), named), sure, quote),
             _field("year", at(6), sure, quote),
-            _field("ISBN", F.get(numbers, F.lit(0)), sure, F.get(numbers, F.lit(0))),
+            bound(F.get(numbers, F.lit(0)), lambda number: _field("ISBN", number, sure, number)),
         ),
     )
     return F.when(part.isNotNull(), _given(fields)).otherwise(F.array().cast(CANDIDATES))

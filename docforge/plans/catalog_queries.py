@@ -41,7 +41,7 @@ _DIGITS = "list_sum(list_transform(generate_series(1, 13), lambda i: substr({0},
     SELECT * FROM f WHERE value <> ''""",
 )
 def cip_fields(t):
-    return t("part").select("p_partkey", F.explode(C.cip(F.expr(_CIP))).alias("c")).select("p_partkey", "c.field", "c.value", "c.confidence")
+    return dealt(t("part"), "p_partkey").select("p_partkey", F.explode(C.cip(F.expr(_CIP))).alias("c")).select("p_partkey", "c.field", "c.value", "c.confidence")
 
 
 _LOC = """CASE WHEN p_size % 4 = 0 THEN 'Copyright page' WHEN p_size % 4 = 1 THEN 'Cataloging-in-Publication  Data' ELSE 'Library of Congress Cataloging-in-Publication Data' END || chr(10) || 'Names: ' || upper(substr(p_name, 1, 1)) || split_part(p_name, ' ', 1) || ',Ann B. | Other, X.' || chr(10) || 'Title: ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' : a study' ELSE '' END || ' / by Ann.' || chr(10)

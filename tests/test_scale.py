@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 - its modules register their queries
+from docforge.functions import catalog as C
 from docforge.operators import score
 from docforge.plans.registry import QUERIES
 from docforge.streaming import changes
@@ -63,7 +64,7 @@ def test_edit_distance_of_long_texts_is_linear(spark):
 
 
 #: Queries over part, and how often a payload, a pattern or a path may be evaluated in the plan.
-COSTLY = {"crossref_records": ("get_json_object", 30), "open_registries": ("get_json_object", 45), "loc_fields": ("regexp_extract", 15)}
+COSTLY = {"crossref_records": ("get_json_object", 30), "open_registries": ("get_json_object", 45), "loc_fields": ("regexp_extract", 15), "cip_fields": ("regexp_extract", 40)}
 
 
 @pytest.mark.parametrize("name", COSTLY)
@@ -73,3 +74,11 @@ def test_costly_expressions_are_dealt_and_bound(spark, sf, name):
     form, most = COSTLY[name]
     assert df._jdf.queryExecution().optimizedPlan().toString().count(f"{form}(") <= most
     assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_cip_of_a_text_with_control_signs(spark):
+    """The signs that stand between groups inside may stand in the text as well."""
+    block = "图书在版编目（CIP）数据\n书名：副题 / （美）诺曼著；李四译 .— 北京 : 某出版社, 2001.10"
+    df = spark.createDataFrame([(0, block), (1, block + "\x01\x02"), (2, "\x02" + block)], "i int, t string")
+    got = {r.i: [(f.field, f.value) for f in r.c] for r in df.select("i", C.cip(F.col("t")).alias("c")).collect()}
+    assert got[0] == got[1] == got[2] == [("title", "书名"), ("subtitle", "副题"), ("authors", "诺曼"), ("translator", "李四"), ("place", "北京"), ("publisher", "某出版社"), ("year", "2001")]
