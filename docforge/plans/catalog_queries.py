@@ -331,7 +331,7 @@ def tei_fields(t):
         F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title level="a"> '), "p_name", F.lit("</title></titleStmt><publicationStmt>"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<publisher>"), "p_type", F.lit("</publisher>"))).otherwise(""), F.lit("<date>"), F.col("p_size") + 1900, F.lit("</date><idno>id"), "p_partkey",
         F.lit("</idno></publicationStmt><sourceDesc>"), F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("<author><persName><surname>"), "p_brand", F.lit("</surname></persName></author>"))).otherwise(""), F.lit("</sourceDesc></fileDesc></teiHeader></TEI>"),
     )
-    return t("part").select("p_partkey", files.tei_fields(x).alias("x")).select("p_partkey", "x.*")
+    return dealt(t("part"), "p_partkey").select("p_partkey", files.tei_fields(x).alias("x")).select("p_partkey", "x.*")
 
 
 @query("S18", "WITH r AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'bad' ELSE sha256(substr(url, 1, length(url) - 1)) END AS digest FROM pages), f AS (SELECT digest, min(page_id) AS page_id FROM r WHERE regexp_matches(digest, '^[0-9a-f]{64}$') GROUP BY digest) SELECT digest, page_id, row_number() OVER (ORDER BY digest) AS place FROM f")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docforge.functions.text import bound
+
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON-lines files, and each unreadable line under corrupt, which is null for the others (S15): a cut line never fails the read."""
@@ -31,9 +33,11 @@ def sources(spark: SparkSession, path: str) -> DataFrame:
 def tei_fields(text: Column) -> Column:
     """Title, author, publisher, date and identifier of a TEI document as a struct."""
     x = F.regexp_replace(text, r'\sxmlns(:\w+)?="[^"]*"', "")
-    get = lambda p: F.nullif(F.trim(F.xpath_string(x, F.lit(p))), F.lit(""))
     paths = {"title": "//titleStmt/title", "author": "//sourceDesc//author//surname", "publisher": "//publicationStmt/publisher", "issued": "//publicationStmt/date", "idno": "//idno"}
-    return F.struct(*(get(p).alias(n) for n, p in paths.items()))
+    # one evaluation, as each parses the document: between the values stands a sign that XML can't hold
+    all_ = bound(F.xpath_string(x, F.lit("concat(" + ", '\x01', ".join(paths.values()) + ")")), lambda v: F.split(v, "\x01"))
+    get = lambda v: bound(F.trim(v), lambda w: F.when(w != "", w))
+    return bound(all_, lambda v: F.struct(*(get(F.get(v, F.lit(i))).alias(n) for i, n in enumerate(paths))))
 
 
 def tei_headers(spark: SparkSession, path: str) -> DataFrame:
