@@ -198,32 +198,38 @@ def reference(text: Column) -> Column:
     just a year and pages.
     """
     c = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"^(?:引用本文|引用此文|本文引用格式|引用格式)\s*[：:]\s*", "")
-    g = lambda i: F.regexp_extract(c, REFERENCE, i)
-    some = lambda x: F.nullif(F.trim(x), F.lit(""))
+    groups = lambda c: F.when(c.rlike(REFERENCE), F.array(*(F.regexp_extract(c, REFERENCE, i) for i in range(1, 5))))
+    return bound(bound(c, groups), _reference_of)
+
+
+def _reference_of(groups: Column) -> Column:
+    g = lambda i: F.get(groups, F.lit(i - 1))
     mark = F.regexp_extract(F.upper(g(3)), "^[A-Z]+", 0)
     title = F.regexp_replace(g(2), r"^[\s.．]+|[\s.．]+$", "")
     rest = F.regexp_replace(g(4), r"^[\s.．]+", "")
-    boxed = (mark == "C") & rest.rlike(CONTAINER)
-    tail = F.when(boxed, F.regexp_replace(rest, CONTAINER, "")).otherwise(rest)
-    journal, imprint = (mark == "J") & rest.rlike(JOURNAL), mark.isin("M", "D", "R", "C") & (boxed | (mark != "C")) & tail.rlike(IMPRINT)
-    j, m = (lambda i: some(F.regexp_extract(rest, JOURNAL, i))), (lambda i: some(F.regexp_extract(tail, IMPRINT, i)))
+    boxed = lambda p: F.struct(p.who, p.title, p.mark, p.rest, ((p.mark == "C") & p.rest.rlike(CONTAINER)).alias("boxed"))
+    tailed = lambda p: F.struct(p.who, p.title, p.mark, p.rest, p.boxed, F.when(p.boxed, F.regexp_replace(p.rest, CONTAINER, "")).otherwise(p.rest).alias("tail"))
+    form = lambda p: F.when((p.mark == "J") & p.rest.rlike(JOURNAL), "journal").when(p.mark.isin("M", "D", "R", "C") & (p.boxed | (p.mark != "C")) & p.tail.rlike(IMPRINT), "imprint").otherwise("")
+    parts = bound(bound(F.struct(g(1).alias("who"), title.alias("title"), mark.alias("mark"), rest.alias("rest")), boxed), tailed)
+    return bound(parts, lambda p: F.when(p.title != "", bound(form(p), lambda f: _source(p, f == "journal", f == "imprint"))))
+
+
+def _source(p: Column, journal: Column, imprint: Column) -> Column:
+    j, m = (lambda i: _some(F.regexp_extract(p.rest, JOURNAL, i))), (lambda i: _some(F.regexp_extract(p.tail, IMPRINT, i)))
     pages = lambda x: F.regexp_replace(F.regexp_replace(x, r"[.．]+$", ""), r"\s+", "")
     kind = F.lit("document")
     for k, v in MARKS.items():
-        kind = F.when(mark == k, v).otherwise(kind)
-    authors = F.filter(F.transform(F.split(F.regexp_replace(g(1), r"[.．\s]+$", ""), r"[,，;；]\s*|\s+and\s+"), lambda a: F.trim(a)), lambda a: a != "")
-    return F.when(
-        c.rlike(REFERENCE) & (title != ""),
-        F.struct(
-            title.alias("title"), kind.alias("type"), F.array_distinct(authors).alias("authors"),
-            F.when(journal, j(1)).when(boxed, some(F.regexp_extract(rest, CONTAINER, 1))).alias("container"),
-            F.when(journal, j(2)).when(imprint, m(3)).otherwise(some(F.regexp_extract(tail, _YEARS, 1))).try_cast("int").alias("year"),
-            F.when(journal, j(3)).alias("volume"), F.when(journal, j(4)).alias("issue"),
-            F.when(journal, pages(j(5))).when(imprint, pages(m(4))).otherwise(pages(some(F.regexp_extract(tail, _PAGES, 1)))).alias("page"),
-            F.when(imprint, m(1)).alias("place"), F.when(imprint, m(2)).alias("publisher"),
-            F.when(mark.isin("EB", "DB"), some(F.regexp_replace(F.regexp_extract(rest, r"(?i)https?://\S+", 0), "[.,，。]+$", ""))).alias("url"),
-        ),
-    )
+        kind = F.when(p.mark == k, v).otherwise(kind)
+    authors = F.filter(F.transform(F.split(F.regexp_replace(p.who, r"[.．\s]+$", ""), r"[,，;；]\s*|\s+and\s+"), lambda a: F.trim(a)), lambda a: a != "")
+    return F.struct(
+        p.title.alias("title"), kind.alias("type"), F.array_distinct(authors).alias("authors"),
+        F.when(journal, j(1)).when(p.boxed, _some(F.regexp_extract(p.rest, CONTAINER, 1))).alias("container"),
+        F.when(journal, j(2)).when(imprint, m(3)).otherwise(_some(F.regexp_extract(p.tail, _YEARS, 1))).try_cast("int").alias("year"),
+        F.when(journal, j(3)).alias("volume"), F.when(journal, j(4)).alias("issue"),
+        F.when(journal, pages(j(5))).when(imprint, pages(m(4))).otherwise(pages(_some(F.regexp_extract(p.tail, _PAGES, 1)))).alias("page"),
+        F.when(imprint, m(1)).alias("place"), F.when(imprint, m(2)).alias("publisher"),
+        F.when(p.mark.isin("EB", "DB"), _some(F.regexp_replace(F.regexp_extract(p.rest, r"(?i)https?://\S+", 0), "[.,，。]+$", ""))).alias("url"),
+    )
 
 
 def titles_match(a: Column, b: Column) -> Column:

@@ -87,7 +87,8 @@ _PAGED = lambda x: rf"nullif(regexp_replace(regexp_replace(trim({x}), '[.．]+$'
     CASE WHEN jo THEN {_PAGED(_group("rest", C.JOURNAL, 5))} WHEN im THEN {_PAGED(_group("tail", C.IMPRINT, 4))} ELSE {_PAGED(_group("tail", _YEAR_PAGE[1], 1))} END AS page, CASE WHEN im THEN trim({_group("tail", C.IMPRINT, 1)}) END AS place, CASE WHEN im THEN trim({_group("tail", C.IMPRINT, 2)}) END AS publisher, CASE WHEN mark = 'EB' THEN regexp_replace(regexp_extract(rest, 'https?://\S+'), '[.,，。]+$', '') END AS url FROM r4""",
 )
 def reference_fields(t):
-    x = t("part").select("p_partkey", C.reference(F.expr(_CITED)).alias("x")).where("x is not null")
+    # exploded and not filtered: a filter would be evaluated apart
+    x = dealt(t("part"), "p_partkey").select("p_partkey", F.explode(F.array_compact(F.array(C.reference(F.expr(_CITED))))).alias("x"))
     return x.select("p_partkey", "x.title", "x.type", F.array_join("x.authors", "; ").alias("authors"), "x.container", "x.year", "x.volume", "x.issue", "x.page", "x.place", "x.publisher", "x.url")
 
 

@@ -64,7 +64,7 @@ def test_edit_distance_of_long_texts_is_linear(spark):
 
 
 #: Queries over part, and how often a payload, a pattern or a path may be evaluated in the plan.
-COSTLY = {"crossref_records": ("get_json_object", 30), "open_registries": ("get_json_object", 45), "loc_fields": ("regexp_extract", 15), "cip_fields": ("regexp_extract", 40), "tei_fields": ("xpath_string", 1)}
+COSTLY = {"crossref_records": ("get_json_object", 30), "open_registries": ("get_json_object", 45), "loc_fields": ("regexp_extract", 15), "cip_fields": ("regexp_extract", 40), "tei_fields": ("xpath_string", 1), "reference_fields": ("regexp_extract", 30)}
 
 
 @pytest.mark.parametrize("name", COSTLY)
