@@ -41,6 +41,10 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\n\s*\n"), canonical), lambda p: p != "")
 
 
+#: The signs that compact() drops: white space of Java's patterns, and those named there.
+NO_SIGNS = (*" \t\n\x0b\f\r", "\u3000", "\u200b", "\ufeff")
+
+
 def compact(c: Column) -> Column:
     """Lower case without white space."""
     return F.regexp_replace(F.lower(c), "[\\s　​﻿]+", "")

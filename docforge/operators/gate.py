@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
+from docforge.functions.text import bound
 
 # Reasons to drop a field, fields of persons, fields whose words may be laid out otherwise, and block keys that can't fill a field.
 DROP_REASONS = ("not_found", "quote_mismatch", "empty", "wrong_role")
@@ -20,13 +21,10 @@ def found_at(quote: Column, text: Column, tight: tuple[Column, Column], loose: t
 
     ``tight`` and ``loose`` are the compact and the presented forms of both.
     """
-    solid = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: T.compact(F.substring(text, i, F.lit(1))) != "")
-    return (
-        F.when(F.instr(text, quote) > 0, F.instr(text, quote) - 1)
-        .when((tight[0] != "") & (F.instr(tight[1], tight[0]) > 0), F.get(solid, F.instr(tight[1], tight[0]) - 1) - 1)
-        .when((loose[0] != "") & (F.instr(loose[1], loose[0]) > 0), F.instr(loose[1], loose[0]) - 1)
-        .cast("long")
-    )
+    held = lambda pair: bound(F.when(pair[0] != "", F.instr(pair[1], pair[0])), lambda at: F.when(at > 0, at))
+    solid = F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(~c.isin(*T.NO_SIGNS), i)))
+    folded = bound(held(tight), lambda at: F.when(at.isNotNull(), F.get(solid, at - 1)).otherwise(held(loose) - 1))
+    return bound(F.instr(text, quote), lambda at: F.when(at > 0, at - 1).otherwise(folded)).cast("long")
 
 
 def wrong_role(field: Column, key: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 - its modules register their queries
 from docforge.functions import catalog as C
-from docforge.operators import score
+from docforge.functions import text as T
+from docforge.operators import gate, score
 from docforge.plans.registry import QUERIES
 from docforge.streaming import changes
 
@@ -82,3 +83,23 @@ def test_cip_of_a_text_with_control_signs(spark):
     df = spark.createDataFrame([(0, block), (1, block + "\x01\x02"), (2, "\x02" + block)], "i int, t string")
     got = {r.i: [(f.field, f.value) for f in r.c] for r in df.select("i", C.cip(F.col("t")).alias("c")).collect()}
     assert got[0] == got[1] == got[2] == [("title", "书名"), ("subtitle", "副题"), ("authors", "诺曼"), ("translator", "李四"), ("place", "北京"), ("publisher", "某出版社"), ("year", "2001")]
+
+
+def _found(spark, pairs):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, quote string, text string")
+    forms = [tuple(f(F.col(c)) for c in ("quote", "text")) for f in (T.compact, T.presented)]
+    got = {r.i: r.at for r in df.select("i", gate.found_at(F.col("quote"), F.col("text"), *forms).alias("at")).collect()}
+    return [got[i] for i in range(len(pairs))]
+
+
+def test_found_at_counts_signs(spark):
+    """A quote in compact form: its place counts code points, and each kind of white space."""
+    pairs = [("bc", "a B C"), ("bc", "\U0001d54f\u3000a\t b\u200b c"), ("Cd", " \ufeff\nc D"), ("x", "abc"), ("a", "abc"), (None, "abc"), ("i\u0307x", "İx"), ("x-y", "w x\u2013y")]
+    assert _found(spark, pairs) == [2, 5, 3, None, 0, None, 0, 2]
+
+
+def test_found_at_is_linear(spark):
+    """A text of 200,000 characters: taking each of them from the text's start takes minutes."""
+    began = time.time()
+    assert _found(spark, [("ENDHERE", "ab c " * 40_000 + "end here")]) == [200_000]
+    assert time.time() - began < 10
